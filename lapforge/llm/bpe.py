@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -45,18 +44,6 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _unassigned() -> str:
-    """A character class of all that Python's Unicode data has no entry for."""
-    runs: list[list[int]] = []
-    for c in range(0x80, 0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in runs) + "]"
-
-
 class Encoder:
     """Encodes as the vocabulary file's tokenizer; special tokens in texts get their ids."""
 
@@ -68,8 +55,8 @@ class Encoder:
         self.suffix = model.get("end_of_word_suffix") or ""
         split = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(split)
-        # characters newer than Python's Unicode data: the library's own tables split such texts
-        self.newer = re.compile(_unassigned())
+        # characters that Python's Unicode data has; the library's own tables split texts with newer ones
+        self.known_chars = {chr(c) for c in range(0x80)}
         self.library, self.spec = None, spec
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special_re = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -196,8 +183,11 @@ class Encoder:
 
     def _plain(self, text: str) -> list:
         if not text.isascii():
-            if self.newer.search(text):
-                return self._by_library(text)
+            unseen = set(text) - self.known_chars
+            if unseen:
+                if any(unicodedata.category(c) == "Cn" for c in unseen):
+                    return self._by_library(text)
+                self.known_chars |= unseen
             # each character on its own: no special form of a sigma at the end of a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         known = self._known
