@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash
+from . import bpe, mixing, sharding, simhash, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"), seed=20)
+
+
+@register
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
