@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash, vectors
+from . import bpe, langid, mixing, sharding, simhash, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"), seed=20)
 
 
+@register
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train_documents(docs, seed=20), keep=["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @register
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
