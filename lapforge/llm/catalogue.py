@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, quality, sharding, simhash, vectors
+from . import bpe, chat, langid, mixing, pii, quality, sharding, simhash, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+@register
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"]), ["doc_id"])
+
+
 @register
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=16, seed=20)
