@@ -242,18 +242,22 @@ def identify(docs: DataFrame, model: Model, text: str | Column = "text", keep: l
     if spans:
         made.append(T.StructField("lang_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))
     names = {f.name for f in made}
-    src = docs.select(*(as_column(c) for c in (docs.columns if keep is None else keep) if c not in names), as_column(text).alias("__lapforge_text"))
-    schema = T.StructType([*src.schema.fields[:-1], *made])
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    # a text that is kept anyway is sent once
+    own = [] if isinstance(text, str) and text in kept else [as_column(text).alias("__lapforge_text")]
+    src = docs.select(*(as_column(c) for c in kept), *own)
+    at = len(kept) if own else kept.index(text)
+    schema = T.StructType([*src.schema.fields[: len(kept)], *made])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^GRAM_BITS scores for each language
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.label(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [shared.value.label(t.as_py()) for t in batch.column(at)]
             columns = [pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 columns.append(pa.array([[{"start": a, "end": b, "lang": k} for a, b, k in f[2]] for f in found], type=kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[f.name for f in schema])
 
     return src.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .scratch import materialize
-from .text import as_column
+from .text import as_column, hidden, text_or_empty
 
 SEED = 42
 #: Shingles hashed at once, whatever a text's length.
@@ -147,5 +147,22 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, doc_id:
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def drop_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document of least doc_id of each component; columns stay as they are.
+
+    Of rows that repeat a kept document's id and text one stays. Documents without an
+    id stay only where their component has no id at all.
+    """
+    found = materialize(near_duplicates(docs, distance, words, doc_id, text), "near_duplicates")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # the ids to leave out are fewer than those to keep, and decide alone which texts move
+    gone = materialize(found.filter(~kept).select(F.col("doc_id").alias(hidden("id"))).distinct(), "duplicates")
+    rest = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(hidden("id"))), "left_anti")
+    if found.filter(kept).groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        key = hidden("text")
+        rest = rest.withColumn(key, F.md5(text_or_empty(text))).dropDuplicates([doc_id, key]).drop(key)
+    return rest
+
+
 def hex_digits(fingerprint_col: str) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint_col), 16, "0"))
