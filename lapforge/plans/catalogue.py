@@ -2,5 +2,329 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.metadata import catalogue
+from ..operators import align, filters, laps, resample
+from ..sources import datasource, encode
+from ..sources.layout import InMemory, parse
+from ..sources.session import metadata_frame
+from .adapters import KEYS, hourly, long_channels, telemetry
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry(_events(spark, sf_dir))
+
+
+def _laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laps.laps(_samples(spark, sf_dir), KEYS)
+
+
+#: A time range, a lap number and a reference channel that queries use.
+START, END, LAP = 1704412800000, 1705017600000, 3
+
+
+@register
+def scan_timecodes(spark, sf_dir):
+    """S14, T1."""
+    return _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes")
+
+
+@register
+def select_channels(spark, sf_dir):
+    """P1, P2."""
+    return filters.select_channels(_samples(spark, sf_dir), ["Value", "K", "Value"], ["user_id", "record_idx", "timecodes"])
+
+
+@register
+def filter_time_range(spark, sf_dir):
+    """F1."""
+    return filters.time_range(_samples(spark, sf_dir), START, END)
+
+
+@register
+def laps_extract(spark, sf_dir):
+    """L1, L2, A1, A2, W1 to W3."""
+    return _laps(spark, sf_dir).select("user_id", "lap_idx", "num", "start_time", "end_time", "sample_count")
+
+
+@register
+def laps_classified(spark, sf_dir):
+    """L3 to L5."""
+    return _laps(spark, sf_dir).select("user_id", "lap_idx", "lap_type")
+
+
+@register
+def laps_sessions(spark, sf_dir):
+    """The whole table of laps."""
+    return _laps(spark, sf_dir)
+
+
+@register
+def laps_overlap(spark, sf_dir):
+    """F2."""
+    return filters.overlapping(_laps(spark, sf_dir), START, END).select("user_id", "lap_idx", "num", "start_time", "end_time")
+
+
+@register
+def filter_by_lap(spark, sf_dir):
+    """F3, A6."""
+    return filters.by_lap(_samples(spark, sf_dir), _laps(spark, sf_dir), LAP, KEYS)
+
+
+@register
+def split_sessions(spark, sf_dir):
+    """F4, A3."""
+    return filters.by_session(_samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "Value"), _laps(spark, sf_dir), KEYS)
+
+
+@register
+def resample_linear_grid(spark, sf_dir):
+    """R1, R1a, R1c, W5, W6."""
+    samples = _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "Value", "K")
+    return resample.resample(samples, hourly(samples, KEYS), KEYS, linear={"Value": True, "K": True})
+
+
+@register
+def resample_step_grid(spark, sf_dir):
+    """R1b."""
+    samples = _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "K")
+    return resample.resample(samples, hourly(samples, KEYS), KEYS)
+
+
+@register
+def resample_bucketed_grid(spark, sf_dir):
+    """R1 over buckets of a timeline, the form for very long logs."""
+    samples = _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "Value", "K")
+    return resample.resample(samples, hourly(samples, KEYS), KEYS, linear={"Value": True, "K": True}, bucket_ms=86_400_000)
+
+
+@register
+def resample_to_channel(spark, sf_dir):
+    """Values at the times of clicks."""
+    samples = _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "Value")
+    clicks = long_channels(_events(spark, sf_dir)).filter("channel = 'click'")
+    return resample.to_channel(samples, clicks, KEYS)
+
+
+@register
+def union_timeline(spark, sf_dir):
+    """J1, A4, O5."""
+    events = long_channels(_events(spark, sf_dir))
+    return align.union_timeline([events.filter("channel = 'click'"), events.filter("channel = 'view'")], KEYS)
+
+
+#: The event types, which are the channels of the long form.
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@register
+def merge_channels(spark, sf_dir):
+    """The general path, each channel on a time base of its own."""
+    linear = {t: t not in ("error", "signup") for t in TYPES}
+    return align.merge_long(long_channels(_events(spark, sf_dir)), linear, KEYS)
+
+
+@register
+def merge_shared_fast(spark, sf_dir):
+    """The path for a shared time base."""
+    return align.merge_shared(_samples(spark, sf_dir), KEYS)
+
+
+@register
+def channel_catalog(spark, sf_dir):
+    """P3 to P6."""
+    return catalogue(_samples(spark, sf_dir), ("user_id", "record_idx", "timecodes"))
+
+
+@register
+def session_distinct(spark, sf_dir):
+    """A3, O2."""
+    return _laps(spark, sf_dir).select("session").distinct()
+
+
+YAML = """---
+WeekendInfo:
+ TrackName: test ring
+ TrackLength: 4.20 km
+ EventType: Race
+ TrackID: 7
+SessionInfo:
+ CurrentSessionNum: 1
+ Sessions:
+ - SessionNum: 0
+   SessionType: Practice
+ - SessionNum: 1
+   SessionType: Race
+   SessionName: FINAL
+DriverInfo:
+ DriverCarIdx: 2
+ Drivers:
+ - CarIdx: 0
+   UserName: Pace
+   CarIsPaceCar: 1
+ - CarIdx: 2
+   UserName: A Driver
+   CarScreenName: Car
+...
+"""
+
+
+def encoded_events(spark: SparkSession, sf_dir: str) -> str:
+    """The events as one binary log in the shared folder; its path. Test data only."""
+    rows = _events(spark, sf_dir).select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("s"), "user_id", ((F.day("ts") - 1) % 7).alias("lap"), (F.col("event_type") == "error").alias("pit"), F.get_json_object("props", "$.k").cast("int").alias("k"), "value").orderBy("event_id").toPandas()
+    data = encode.encode(
+        [
+            ("SessionTime", "double", "s", "time", rows["s"].to_numpy()),
+            ("Lap", "int", "", "lap", rows["lap"].to_numpy()),
+            ("OnPitRoad", "bool", "", "pit", rows["pit"].to_numpy()),
+            ("LapDistPct", "float", "%", "share", rows["k"].to_numpy() / 100),
+            ("Value", "double", "", "value", rows["value"].to_numpy()),
+            ("User", "bitfield", "", "user", rows["user_id"].to_numpy()),
+            ("Tag", "char", "", "tag", rows["k"].to_numpy() + 100),
+            ("Many", "float", "", "array", rows[["value", "value", "value"]].to_numpy()),
+        ],
+        YAML.encode() + b"\0\0",
+    )
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = shared if shared and "://" not in shared else tempfile.gettempdir()
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/lapforge-{uuid.uuid4().hex}.log"
+    with open(path, "wb") as f:
+        f.write(data)
+    return path
+
+
+@register
+def binary_scan(spark, sf_dir):
+    """Events written as a binary log and read by the data source."""
+    return datasource.read(spark, encoded_events(spark, sf_dir)).select("record_idx", "timecodes", "Lap", "OnPitRoad", "LapDistPct", "Value", "User", "Tag")
+
+
+@register
+def binary_stored_scan(spark, sf_dir):
+    """The same through Spark's own file reader."""
+    return datasource.read_stored(spark, encoded_events(spark, sf_dir)).select("record_idx", "timecodes", "Lap", "OnPitRoad", "LapDistPct", "Value", "User", "Tag")
+
+
+@register
+def binary_one_channel(spark, sf_dir):
+    """One channel, some records."""
+    return datasource.read(spark, encoded_events(spark, sf_dir), ["Value"]).filter("record_idx between 10 and 19").select("record_idx", "timecodes", "Value")
+
+
+@register
+def binary_arrays(spark, sf_dir):
+    """Array variables, which are read only on demand."""
+    many = datasource.read(spark, encoded_events(spark, sf_dir), ["Many"], arrays=True)
+    return many.select("record_idx", F.size("Many").alias("n"), F.col("Many")[2].alias("last"))
+
+
+@register
+def binary_laps(spark, sf_dir):
+    """S1, L1 to L7 over the binary log."""
+    return laps.laps(datasource.read(spark, encoded_events(spark, sf_dir)), ["file_id"]).drop("file_id")
+
+
+@register
+def session_metadata(spark, sf_dir):
+    """From the YAML text of a log."""
+    layout = parse(InMemory(encode.encode([("SessionTime", "double", "s", "", [])], YAML.encode())))
+    frame = metadata_frame(spark, {"log": layout})
+    get = lambda k, t: F.variant_get("metadata", f"$.{k}", t).alias(k)
+    return frame.select("file_id", get("track_name", "string"), get("track_length", "string"), get("event_type", "string"), get("session_type", "string"), get("session_name", "string"), get("driver_name", "string"), get("num_drivers", "int"), get("track_id", "int"))
+
+
+_E = """
+e AS (SELECT user_id, event_id AS record_idx, (epoch_us(ts) + 500) // 1000 AS timecodes, value AS "Value",
+  CAST(json_extract_string(props, '$.k') AS INT) AS "K", CAST((day(ts) - 1) % 7 AS INT) AS "Lap",
+  CAST(CAST(CAST(json_extract_string(props, '$.k') AS INT) AS FLOAT) / CAST(100 AS FLOAT) AS FLOAT) AS "LapDistPct",
+  event_type = 'error' AS "OnPitRoad", event_type AS channel FROM events)"""
+_L = """,
+c AS (SELECT *, CASE WHEN "Lap" <> lag("Lap") OVER w THEN 1 ELSE 0 END AS chg FROM e WINDOW w AS (PARTITION BY {k} ORDER BY record_idx)),
+i AS (SELECT *, SUM(chg) OVER (PARTITION BY {k} ORDER BY record_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lap_idx FROM c),
+g AS (SELECT {k}, lap_idx, MIN("Lap") AS num, min_by(timecodes, record_idx) AS start_time, max_by(timecodes, record_idx) AS last_time, COUNT(*) AS n,
+  min_by("OnPitRoad", record_idx) AS p0, max_by("OnPitRoad", record_idx) AS p1, min_by("LapDistPct", record_idx) AS d0, max_by("LapDistPct", record_idx) AS d1
+  FROM i GROUP BY {k}, lap_idx),
+laps AS (SELECT {k}, CAST(lap_idx AS BIGINT) AS lap_idx, num, start_time,
+  COALESCE(LEAD(start_time) OVER (PARTITION BY {k} ORDER BY lap_idx), last_time) AS end_time, n AS sample_count,
+  CASE WHEN n < 2 THEN 'incomplete' WHEN p0 THEN 'out' WHEN p1 THEN 'in'
+    WHEN (d0 > CAST(0.02 AS FLOAT) AND d0 < CAST(0.98 AS FLOAT)) OR (d1 > CAST(0.02 AS FLOAT) AND d1 < CAST(0.98 AS FLOAT)) THEN 'partial' ELSE 'full' END AS lap_type,
+  CAST(SUM(CASE WHEN num = 0 AND lap_idx > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY lap_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS session FROM g)"""
+_EL = "WITH" + _E + _L.format(k="user_id")
+_GRID = """,
+grid AS (SELECT user_id, unnest(generate_series(CAST(ceil(a / 3600000.0) AS BIGINT), CAST(floor(b / 3600000.0) AS BIGINT))) * 3600000 AS t
+  FROM (SELECT user_id, MIN(timecodes) AS a, MAX(timecodes) AS b FROM e GROUP BY user_id))"""
+
+
+def _between(source: str, target: str, keys: str = "user_id", values: tuple[str, ...] = ("v",)) -> str:
+    """CTEs u and s: for each target of ``target`` the knots of ``source`` around it."""
+    first = ", ".join(f"first_value(CASE WHEN kind = 0 THEN {v} END IGNORE NULLS) OVER a AS {v}1" for v in values)
+    last = ", ".join(f"last_value(CASE WHEN kind = 0 THEN {v} END IGNORE NULLS) OVER b AS {v}0" for v in values)
+    nulls = ", ".join("NULL" for _ in values)
+    return f""",
+u AS (SELECT {keys}, t, 0 AS kind, ord, {', '.join(values)} FROM ({source}) UNION ALL SELECT {keys}, t, 1, NULL, {nulls} FROM ({target})),
+s AS (SELECT {keys}, t, kind, last_value(CASE WHEN kind = 0 THEN t END IGNORE NULLS) OVER b AS t0, first_value(CASE WHEN kind = 0 THEN t END IGNORE NULLS) OVER a AS t1, {last}, {first} FROM u
+  WINDOW b AS (PARTITION BY {keys} ORDER BY t, kind, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         a AS (PARTITION BY {keys} ORDER BY t, kind, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+def _linear(v: str) -> str:
+    return f"CASE WHEN t0 IS NULL THEN CAST({v}1 AS DOUBLE) WHEN t1 IS NULL OR t0 = t THEN CAST({v}0 AS DOUBLE) ELSE (CAST({v}1 AS DOUBLE) - {v}0) / CAST(t1 - t0 AS DOUBLE) * CAST(t - t0 AS DOUBLE) + {v}0 END"
+
+
+_GRID_SOURCE = 'SELECT user_id, timecodes AS t, record_idx AS ord, "Value" AS v, "K" AS k FROM e'
+_GRID_SQL = "WITH" + _E + _GRID + _between(_GRID_SOURCE, "SELECT user_id, t FROM grid", values=("v", "k")) + f' SELECT user_id, t AS timecodes, {_linear("v")} AS "Value", {_linear("k")} AS "K" FROM s WHERE kind = 1'
+_BOTH = '"K", "Lap", "LapDistPct", "OnPitRoad", "Value"'
+
+ORACLES |= {
+    "scan_timecodes": "WITH" + _E + " SELECT user_id, record_idx, timecodes FROM e",
+    "select_channels": "WITH" + _E + ' SELECT user_id, record_idx, timecodes, "Value", "K" FROM e',
+    "filter_time_range": "WITH" + _E + f" SELECT user_id, record_idx, timecodes, {_BOTH} FROM e WHERE timecodes >= {START} AND timecodes < {END}",
+    "laps_extract": _EL + " SELECT user_id, lap_idx, num, start_time, end_time, sample_count FROM laps",
+    "laps_classified": _EL + " SELECT user_id, lap_idx, lap_type FROM laps",
+    "laps_sessions": _EL + " SELECT user_id, lap_idx, num, start_time, end_time, lap_type, session, sample_count FROM laps",
+    "laps_overlap": _EL + f" SELECT user_id, lap_idx, num, start_time, end_time FROM laps WHERE start_time < {END} AND end_time > {START}",
+    "filter_by_lap": _EL + f" SELECT e.user_id, record_idx, timecodes, {_BOTH} FROM e JOIN (SELECT user_id, min_by(start_time, lap_idx) AS a, min_by(end_time, lap_idx) AS b FROM laps WHERE num = {LAP} GROUP BY user_id) x ON e.user_id = x.user_id AND timecodes >= a AND timecodes < b",
+    "split_sessions": _EL + " SELECT e.user_id, record_idx, timecodes, \"Value\", session FROM e JOIN (SELECT user_id, session, min_by(start_time, lap_idx) AS a, max_by(end_time, lap_idx) AS b FROM laps WHERE lap_type <> 'incomplete' GROUP BY user_id, session) x ON e.user_id = x.user_id AND timecodes >= a AND timecodes < b",
+    "resample_linear_grid": _GRID_SQL,
+    "resample_bucketed_grid": _GRID_SQL,
+    "resample_step_grid": "WITH" + _E + _GRID + _between('SELECT user_id, timecodes AS t, record_idx AS ord, "K" AS k FROM e', "SELECT user_id, t FROM grid", values=("k",)) + ' SELECT user_id, t AS timecodes, COALESCE(k0, k1) AS "K" FROM s WHERE kind = 1',
+    "resample_to_channel": "WITH" + _E + _between('SELECT user_id, timecodes AS t, record_idx AS ord, "Value" AS v FROM e', "SELECT user_id, timecodes AS t FROM e WHERE channel = 'click'") + f' SELECT user_id, t AS timecodes, {_linear("v")} AS "Value" FROM s WHERE kind = 1',
+    "union_timeline": "WITH" + _E + " SELECT user_id, timecodes FROM e WHERE channel = 'click' UNION SELECT user_id, timecodes FROM e WHERE channel = 'view'",
+    "merge_channels": "WITH" + _E + ", names AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS channel)"
+    + _between('SELECT user_id, channel, timecodes AS t, record_idx AS ord, "Value" AS v FROM e', "SELECT DISTINCT user_id, names.channel, timecodes AS t FROM e CROSS JOIN names", "user_id, channel")
+    + f", r AS (SELECT user_id, channel, t, CASE WHEN channel IN ('error', 'signup') THEN COALESCE(v0, v1) ELSE {_linear('v')} END AS v FROM s WHERE kind = 1)"
+    + " SELECT user_id, t AS timecodes, " + ", ".join(f"MAX(CASE WHEN channel = '{t}' THEN v END) AS {t}" for t in TYPES) + " FROM r GROUP BY user_id, t",
+    "merge_shared_fast": "WITH" + _E + f" SELECT user_id, timecodes, {_BOTH} FROM (SELECT *, row_number() OVER (PARTITION BY user_id, timecodes ORDER BY record_idx DESC) AS rn FROM e) WHERE rn = 1",
+    "channel_catalog": "SELECT * FROM (VALUES ('K', '', 'property k', false, 'int'), ('Lap', '', 'day of the week of four', false, 'int'), ('LapDistPct', '%', 'share of a lap', true, 'float'), ('OnPitRoad', '', 'event is an error', false, 'boolean'), ('Value', '', 'value of the event', true, 'double')) AS t(channel, units, \"desc\", interpolate, type)",
+    "session_distinct": _EL + " SELECT DISTINCT session FROM laps",
+    "session_metadata": "SELECT 'log' AS file_id, 'test ring' AS track_name, '4.20 km' AS track_length, 'Race' AS event_type, 'Race' AS session_type, 'FINAL' AS session_name, 'A Driver' AS driver_name, CAST(1 AS INT) AS num_drivers, CAST(7 AS INT) AS track_id",
+}
+# the binary log holds all events in the order of their ids, as records from 0 on
+_B = "WITH b AS (SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS record_idx, CAST(round(epoch_us(ts) / 1e6 * 1000) AS BIGINT) AS timecodes, CAST((day(ts) - 1) % 7 AS INT) AS \"Lap\", event_type = 'error' AS \"OnPitRoad\", CAST(CAST(json_extract_string(props, '$.k') AS INT) / 100.0 AS FLOAT) AS \"LapDistPct\", value AS \"Value\", user_id AS \"User\", CAST(CAST(json_extract_string(props, '$.k') AS INT) + 100 AS SMALLINT) AS \"Tag\" FROM events)"
+_BINARY = _B + ' SELECT record_idx, timecodes, "Lap", "OnPitRoad", "LapDistPct", "Value", "User", "Tag" FROM b'
+ORACLES |= {
+    "binary_scan": _BINARY,
+    "binary_stored_scan": _BINARY,
+    "binary_one_channel": _B + ' SELECT record_idx, timecodes, "Value" FROM b WHERE record_idx BETWEEN 10 AND 19',
+    "binary_arrays": _B + ' SELECT record_idx, CAST(3 AS INT) AS n, CAST("Value" AS FLOAT) AS last FROM b',
+    "binary_laps": _B + ", e AS (SELECT *, 0 AS one FROM b)" + _L.format(k="one") + " SELECT lap_idx, num, start_time, end_time, lap_type, session, sample_count FROM laps",
+}
