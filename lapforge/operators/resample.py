@@ -76,8 +76,8 @@ def _carried(line: DataFrame, keys: list[str], none: Column) -> DataFrame:
     w = (W.partitionBy(*keys) if keys else W).orderBy("bucket")  # one row for each bucket
     before = F.last("hi", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     after = F.expr(f"lead(lo, 1) ignore nulls over {window}")
-    near = ends.select(*keys, "bucket", before.alias("b"), after.alias("a")).select(*keys, "bucket", F.explode(F.array("b", "a")).alias("k"))
-    return near.filter("k is not null").select(*keys, F.col("k.t").alias("t"), F.lit(0).alias("kind"), F.col("k.ord").alias("ord"), F.col("k.knot").alias("knot"), none.alias("extra"), "bucket")
+    near = ends.select(*keys, "bucket", before.alias("__before"), after.alias("__after")).select(*keys, "bucket", F.explode(F.array("__before", "__after")).alias("__end"))
+    return near.filter("__end is not null").select(*keys, F.col("__end.t").alias("t"), F.lit(0).alias("kind"), F.col("__end.ord").alias("ord"), F.col("__end.knot").alias("knot"), none.alias("extra"), "bucket")
 
 
 def to_channel(samples: DataFrame, reference: DataFrame, keys: list[str], order: str = "record_idx", linear: dict[str, bool] | None = None) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metadata import catalogue
-from ..operators import align, filters, laps, resample
+from ..operators import align, filters
+from ..operators.laps import laps as find_laps
+from ..operators.resample import resample, to_channel
 from ..sources import datasource, encode
 from ..sources.layout import InMemory, parse
 from ..sources.session import metadata_frame
@@ -34,7 +36,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return laps.laps(_samples(spark, sf_dir), KEYS)
+    return find_laps(_samples(spark, sf_dir), KEYS)
 
 
 #: A time range, a lap number and a reference channel that queries use.
@@ -99,21 +101,21 @@ def split_sessions(spark, sf_dir):
 def resample_linear_grid(spark, sf_dir):
     """R1, R1a, R1c, W5, W6."""
     samples = _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "Value", "K")
-    return resample.resample(samples, hourly(samples, KEYS), KEYS, linear={"Value": True, "K": True})
+    return resample(samples, hourly(samples, KEYS), KEYS, linear={"Value": True, "K": True})
 
 
 @register
 def resample_step_grid(spark, sf_dir):
     """R1b."""
     samples = _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "K")
-    return resample.resample(samples, hourly(samples, KEYS), KEYS)
+    return resample(samples, hourly(samples, KEYS), KEYS)
 
 
 @register
 def resample_bucketed_grid(spark, sf_dir):
     """R1 over buckets of a timeline, the form for very long logs."""
     samples = _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "Value", "K")
-    return resample.resample(samples, hourly(samples, KEYS), KEYS, linear={"Value": True, "K": True}, bucket_ms=86_400_000)
+    return resample(samples, hourly(samples, KEYS), KEYS, linear={"Value": True, "K": True}, bucket_ms=86_400_000)
 
 
 @register
@@ -121,7 +123,7 @@ def resample_to_channel(spark, sf_dir):
     """Values at the times of clicks."""
     samples = _samples(spark, sf_dir).select("user_id", "record_idx", "timecodes", "Value")
     clicks = long_channels(_events(spark, sf_dir)).filter("channel = 'click'")
-    return resample.to_channel(samples, clicks, KEYS)
+    return to_channel(samples, clicks, KEYS)
 
 
 @register
@@ -240,7 +242,7 @@ def binary_arrays(spark, sf_dir):
 @register
 def binary_laps(spark, sf_dir):
     """S1, L1 to L7 over the binary log."""
-    return laps.laps(datasource.read(spark, encoded_events(spark, sf_dir)), ["file_id"]).drop("file_id")
+    return find_laps(datasource.read(spark, encoded_events(spark, sf_dir)), ["file_id"]).drop("file_id")
 
 
 @register

@@ -69,8 +69,9 @@ def time_variable(layout: Layout) -> Variable:
 def timecodes(seconds: np.ndarray) -> np.ndarray:
     """Milliseconds as int64: halves away from zero, NaN 0, too large values the limits."""
     ms = np.asarray(seconds, dtype=np.float64) * 1000
-    whole = np.trunc(ms)
-    ms = np.where(np.abs(ms - whole) >= 0.5, whole + np.sign(ms), whole)
+    with np.errstate(invalid="ignore"):
+        whole = np.trunc(ms)
+        ms = np.where(np.abs(ms - whole) >= 0.5, whole + np.sign(ms), whole)
     limit = float(1 << 63)
     low, high = ms <= -limit, ms >= limit
     out = np.where(np.isnan(ms) | low | high, 0, ms).astype(np.int64)
