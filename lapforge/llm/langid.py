@@ -139,6 +139,10 @@ class Model:
         for piece in _pieces(text):
             w = _words(piece)
             if len(w.starts):
+                if not self.languages:
+                    parts.append(np.zeros((len(w.starts), 0)))
+                    letters.append(w.letters)
+                    continue
                 per = np.add.reduceat(self.logs[w.grams], w.starts, axis=0)
                 per -= per.max(axis=1, keepdims=True)
                 fits = self.allowed[w.script]
