@@ -13,7 +13,8 @@ at most m times that). The largest gain on a run is a prefix sum and a running
 minimum. Only texts that fail this test are decoded word by word.
 
 The model is fitted on a bounded, seeded sample of labelled texts of each language
-(``TRAIN_DOCS``); everything else covers whole texts of all documents.
+(``TRAIN_DOCS``) of the commonest ``LANGUAGES``; everything else covers whole texts of
+all documents.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 
 from .text import as_column
 
-#: Labelled texts of a language that the model is fitted on, about.
-TRAIN_DOCS = 1500
+#: Labelled texts of a language that the model is fitted on, about; languages, the commonest.
+TRAIN_DOCS, LANGUAGES = 1500, 500
 GRAM_BITS = 17
 SMOOTHING = 0.1
 #: Log-probability that a switch of language costs.
@@ -198,13 +199,14 @@ def train(labelled: DataFrame, text: str | Column = "text", language: str | Colu
     text; whole texts count. Without rows, the model knows no language.
     """
     rows = labelled.select(as_column(text).alias("text"), as_column(language).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((1 << GRAM_BITS, 0), np.float32), np.zeros((len(NAMES), 0), bool), np.zeros(0))
     share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, TRAIN_DOCS / counts[k])))))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
-    sample = rows.filter(drawn).select("lang", "text")
+    sample = rows.filter(F.col("lang").isin(languages)).filter(drawn).select("lang", "text")
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
