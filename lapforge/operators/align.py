@@ -36,23 +36,24 @@ def merge_shared(df: DataFrame, keys: list[str], order: str = "record_idx") -> D
 def merge_long(samples: DataFrame, linear: dict[str, bool], keys: list[str], order: str = "record_idx") -> DataFrame:
     """Channels in long form (keys, channel, time, order, value) as one wide table.
 
+    ``linear`` names the channels, and says which are interpolated.
+
     All channels are resampled to the union of all times of their key in one pass, with
     the channel as part of the key, then pivoted to columns by name.
     """
     names = sorted(linear)
+    if not names:
+        return samples.select(*keys, TIME).limit(0)
+    samples = samples.filter(F.col("channel").isin(names))
     times = union_timeline([samples], keys)
     targets = times.withColumn("channel", F.explode(F.array(*map(F.lit, names))))
     by = [*keys, "channel"]
-    wide = None
-    for kind in (True, False):
-        some = [n for n in names if linear[n] is kind]
-        if some:
-            of = lambda df, some=some: df.filter(F.col("channel").isin(some))
-            part = resample(of(samples.select(*by, TIME, order, "value")), of(targets), by, order, {"value": kind})
-            wide = part if wide is None else wide.unionByName(part)
-    if wide is None:
-        return times.limit(0)
-    return wide.groupBy(*keys, TIME).pivot("channel", names).agg(F.first("value"))
+    # both readings of a value in one pass; the channel says which one holds
+    both = samples.select(*by, TIME, order, F.col("value").alias("line"), F.col("value").alias("step"))
+    found = resample(both, targets, by, order, {"line": True, "step": False})
+    is_linear = F.col("channel").isin([n for n in names if linear[n]])
+    value = F.when(is_linear, F.col("line")).otherwise(F.col("step"))
+    return found.groupBy(*keys, TIME).pivot("channel", names).agg(F.first(value))
 
 
 def merge_tables(tables: dict[str, DataFrame], order: str | None = None) -> DataFrame:
