@@ -137,12 +137,14 @@ def thresholds(measured: DataFrame) -> DataFrame:
     own = materialize(sketch(measured, ["lang_key", "group_key"]), "sketches")
     if own.limit(1).count() == 0:
         return own.select("group_key", *(F.lit(None).cast("struct<low:bigint,high:bigint>").alias(k) for k in SLACK))
-    levels = [fences(own, ["lang_key", "group_key"]), fences(merge(own, ["lang_key"]), ["lang_key"]), fences(merge(own.withColumn("all", F.lit(0)), ["all"]), ["all"])]
     pack = lambda df, name: df.select(*(c for c in df.columns if c.endswith("_key")), F.struct("total", *SLACK).alias(name))
-    source, lang, every = (pack(df, n) for df, n in zip(levels, ("s", "l", "e")))
-    both = source.join(lang, "lang_key").join(F.broadcast(every), F.lit(True))  # one row
-    pick = lambda k: F.when(F.col("s.total") >= FEW, F.col(f"s.{k}")).when(F.col("l.total") >= FEW, F.col(f"l.{k}")).otherwise(F.col(f"e.{k}"))
-    return materialize(both.select("group_key", *(pick(k).alias(k) for k in SLACK)), "thresholds")
+    source = pack(fences(own, ["lang_key", "group_key"]), "s")
+    lang = pack(fences(merge(own, ["lang_key"]), ["lang_key"]), "l")
+    every = fences(merge(own.withColumn("all", F.lit(0)), ["all"]), ["all"]).first()  # one row
+    shape = "struct<low:bigint,high:bigint>"
+    rest = {k: F.struct(F.lit(every[k]["low"]).alias("low"), F.lit(every[k]["high"]).alias("high")).cast(shape) for k in SLACK}
+    pick = lambda k: F.when(F.col("s.total") >= FEW, F.col(f"s.{k}")).when(F.col("l.total") >= FEW, F.col(f"l.{k}")).otherwise(rest[k])
+    return materialize(source.join(lang, "lang_key").select("group_key", *(pick(k).alias(k) for k in SLACK)), "thresholds")
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
