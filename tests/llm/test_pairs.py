@@ -290,3 +290,14 @@ def test_sql(spark):
         names = [d[0] for d in cursor.description]
         assert sorted(names) == sorted(df.columns)
         assert sorted(repr([r[c] for c in names]) for r in df.collect()) == sorted(map(repr, map(list, cursor.fetchall())))
+
+
+def test_scratch_tables_are_written_once_and_cleared(spark):
+    import os
+
+    made = scratch.materialize(spark.range(5).select(F.col("id"), F.rand().alias("r")), "numbers")
+    assert sorted(made.collect()) == sorted(made.collect())
+    folder = scratch._WRITTEN[-1]
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and os.path.isdir(folder.removeprefix("file://"))
+    scratch.clear(spark)
+    assert not os.path.isdir(folder.removeprefix("file://")) and scratch._WRITTEN == []
