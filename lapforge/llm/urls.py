@@ -52,15 +52,20 @@ def listed(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULE
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens: parts of the host and the registered name, of the path, names of parameters."""
+    """Distinct tokens, none implied by another one: the last part of the host, its other
+    parts, words inside parts that hold other characters too, steps of the path without
+    digits, names of parameters. Tokens that always go together would only multiply the
+    sets that are mined."""
     parts = F.filter(F.split(host, r"\."), lambda x: x != "")
     tag = lambda kind, a: F.transform(a, lambda x: F.concat(F.lit(kind + ":"), x))
-    words = F.filter(F.split(F.lower(host), r"[^a-z]+"), lambda x: F.length(x) > 2)
+    inner = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    mixed = F.filter(inner, lambda x: F.rlike(x, F.lit("[^a-z]")))
+    words = F.filter(F.flatten(F.transform(mixed, lambda x: F.split(x, "[^a-z]+"))), lambda x: F.length(x) > 2)
     steps = F.filter(F.split(F.lower(path), "/"), lambda x: (x != "") & ~F.rlike(x, F.lit("[0-9]")))
     query = F.coalesce(F.regexp_extract(url, r"\?([^#]*+)", 1), F.lit(""))
     names = F.filter(F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
     last = F.when(F.size(parts) > 0, F.element_at(parts, -1))
-    return F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("tld:"), last)), tag("host", parts), tag("word", words), tag("path", steps), tag("param", names))))
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("tld:"), last)), tag("host", inner), tag("word", words), tag("path", steps), tag("param", names))))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
