@@ -27,7 +27,6 @@ CONTROLS = (START, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>
 _TAILS = r"(\|im_start\|>|\|im_end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
 _ESCAPE = (r"([<\[])(\\*)" + _TAILS, r"$1\\$2$3")
 _UNESCAPE = (r"([<\[])\\(\\*)" + _TAILS, r"$1$2$3")
-MAX_ROUNDS = 62
 
 
 def escape(text: Column) -> Column:
@@ -51,21 +50,23 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables of 2^k-th ancestors, and (tree, node, depth, total score) of every node.
 
     nodes: tree, node, parent, score. A parent that is null or not in the tree makes a
-    root. A cycle of parents raises ValueError.
+    root. A round joins only messages whose root isn't reached yet, so short branches
+    cost nothing while long ones go on. A cycle of parents raises ValueError.
     """
     here = nodes.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
     state = nodes.join(here, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
     levels = [materialize(state, "ancestors")]
+    rounds = levels[0].count().bit_length()
+    done = levels[0].filter("up is null")
     while levels[-1].filter("up is not null").limit(1).count():
-        if len(levels) > MAX_ROUNDS or (len(levels) > 3 and levels[-1].filter("up = node").limit(1).count()):
+        if len(levels) > rounds:
             raise ValueError("a message is its own ancestor")
-        low = levels[-1]
-        high = low.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("gain"))
-        step = low.join(high, ["tree", "up"], "left").select(
-            "tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total")
-        )
+        going = levels[-1].filter("up is not null")
+        high = done.unionByName(going).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("gain"))
+        step = going.join(high, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("gain")).alias("total"))
         levels.append(materialize(step, "ancestors"))
-    return levels, levels[-1].select("tree", "node", "depth", "total")
+        done = done.unionByName(levels[-1].filter("up is null"))
+    return levels, done.select("tree", "node", "depth", "total")
 
 
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
