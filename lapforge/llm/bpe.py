@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .text import as_column
 
 #: Words and pairs that a worker remembers; beyond it the older half is dropped.
-CACHE = 400_000
+CACHE = 200_000
 #: Documents that are encoded and returned at once, whatever Spark's batches hold.
 SLICE = 256
 _END = 256
