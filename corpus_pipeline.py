@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe, langid, mixing, pii, simhash
+from lapforge.llm import bpe, langid, mixing, pii, shingles
 from lapforge.llm.catalogue import vocabulary
 from lapforge.llm.scratch import materialize
 
@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of every SimHash component."""
-    return simhash.drop_duplicates(docs)
+    """The document of least doc_id of every component of near copies: five-word shingles, similarity 0.8."""
+    return shingles.drop_duplicates(docs, similarity=0.8, words=5)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,7 +153,12 @@ def drop_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, doc_id:
     Of rows that repeat a kept document's id and text one stays. Documents without an
     id stay only where their component has no id at all.
     """
-    found = materialize(near_duplicates(docs, distance, words, doc_id, text), "near_duplicates")
+    return keep_least(docs, near_duplicates(docs, distance, words, doc_id, text), doc_id, text)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those whose doc_id isn't the component_id that ``found`` names."""
+    found = materialize(found, "near_duplicates")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # the ids to leave out are fewer than those to keep, and decide alone which texts move
     gone = materialize(found.filter(~kept).select(F.col("doc_id").alias(hidden("id"))).distinct(), "duplicates")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lapforge.llm import bpe, catalogue, chat, components, scratch, simhash, urls, vectors
+from lapforge.llm import bpe, catalogue, chat, components, scratch, shingles, simhash, urls, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,6 +103,29 @@ def test_drop_duplicates(spark, odd):
     assert ids.count(1) == 1 and 2 not in ids and ids.count(3) == 1 and 4 not in ids and 6 in ids
 
 
+def plain_shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_pipeline_drops_every_copy_at_least_as_similar_as_0_8(spark, block):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: plain_shingles(r.text) for r in docs.collect()}
+    ids, holders = sorted(sets), collections.defaultdict(list)
+    for i in ids:
+        for s in sets[i]:
+            holders[s].append(i)
+    both = collections.Counter(p for h in holders.values() for p in itertools.combinations(h, 2))
+    pairs = [(a, b) for (a, b), n in both.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    pairs += [(a, b) for a, b in itertools.combinations([i for i in ids if not sets[i]], 2)]
+    want = rooted(pairs, ids)
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(docs, block=block).collect()} == want
+    assert sum(0 < len(sets[a] ^ sets[b]) for a, b in pairs) >= 10
+    if block == 256:
+        assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(want.values())
+
+
 # --- vectors
 
 
