@@ -36,7 +36,7 @@ PATTERNS = {
 CANDIDATE = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)*+"
 #: Rounds over the graph; least score and least number of seeds of a pattern that marks.
 ROUNDS, TRUST, SUPPORT = 3, 0.8, 5
-#: Candidates with fewer digits or @ than this are no identifiers.
+#: Candidates without @ and with fewer digits than this are no identifiers.
 LEAST = 5
 _SPANS = "array<struct<start:int,end:int,kind:string>>"
 #: Spans in a part of the prefix sum, so that its cost stays near n * sqrt(n).
@@ -116,7 +116,7 @@ def base_spans(text: str | Column) -> dict[str, Column]:
 
 
 def _trimmed(found: Column) -> Column:
-    """Candidates without the marks around them; too few digits or @ drop out."""
+    """Candidates without the marks around them; those without @ and with too few digits drop out."""
     inner = F.transform(
         found,
         lambda m: let(
@@ -128,7 +128,7 @@ def _trimmed(found: Column) -> Column:
             ),
         ),
     )
-    return F.filter(inner, lambda m: F.length(F.regexp_replace(m["value"], "[^0-9@]", "")) >= LEAST)
+    return F.filter(inner, lambda m: F.contains(m["value"], F.lit("@")) | (F.length(_digits(m["value"])) >= LEAST))
 
 
 def _context(before: Column) -> Column:

@@ -192,6 +192,17 @@ def test_op5_contexts_find_unseen(spark):
     assert masked[0] == "please call me at <phone> today" and masked[100] == "some words then call me at <phone> ok" and masked[200] == rows[33][1]
 
 
+def found_in(spark, texts):
+    rows = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [[(s.kind, r.text[s.start : s.end]) for s in r.pii] for r in rows]
+
+
+def test_op5_contexts_find_unseen_email_forms(spark):
+    texts = [f"you can write to person{chr(97 + i)}@mail.org today" for i in range(25)] + ["or write to user@localhost today", "please write to jane@exämple.org today", "prices count to @five today"]
+    found = found_in(spark, texts)
+    assert found[25] == [("email", "user@localhost")] and found[26] == [("email", "jane@exämple.org")] and found[27] == []
+
+
 def test_mask_keeps_the_rest(spark, odd):
     assert sorted(map(repr, pii.mask(odd).collect())) == sorted(map(repr, odd.collect()))
 
