@@ -1,14 +1,15 @@
 """Personal data by base patterns and by bootstrapped contexts, without Python on rows.
 
 Base patterns find e-mail and network addresses, cards and phone numbers. They seed a
-graph over the whole corpus: candidates are runs of words that hold a digit or ``@``,
-a candidate's pattern is the two words before it with its shape (with @, or how many
+graph over the whole corpus: other candidates are runs of words that hold a digit or ``@``
+in the text that base spans leave, a candidate's pattern is the two words before it,
+where identifiers count by their shapes, with its own shape (with @, or how many
 digits, and whether letters are among them), and an edge joins a pattern to the instance
 (the candidate's text) that it stands before. Scores go back and forth a few rounds:
 a pattern is as trustworthy for a kind as the instances it extracts, an instance as
 the patterns that extract it; seeds keep score 1 for their kind. Patterns of high
 score and support then mark their other candidates, unseen identifiers, as that kind.
-Candidates that a base span touches are never marked again.
+Base spans are never marked again.
 
 Offsets are code points. They come from splitting a text at the matches: a match
 starts where the pieces and matches before it end. Patterns that could start at every
@@ -43,21 +44,22 @@ _SPANS = "array<struct<start:int,end:int,kind:string>>"
 PART = 512
 
 
-def _prefix(sizes: Column) -> Column:
-    """Sums of (gap, match) sizes: the end of each match, in parts to stay near linear."""
-    part = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+def _prefix(sizes: Column, join=lambda a, x: a + x) -> Column:
+    """Sums of (gap, match) sizes: the end of each match, in parts to stay near linear; or what else ``join`` makes."""
+    part = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(join(F.element_at(a, -1), x))))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / PART)), lambda i: F.slice(sizes, (i * PART + 1).cast("int"), F.lit(PART)))
     inner = F.transform(parts, part)
 
     def shift(done: Column) -> Column:
-        starts = F.aggregate(done, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(p, -1))))
-        return let(starts, lambda st: F.flatten(F.transform(done, lambda p, i: F.transform(F.slice(p, 2, F.lit(PART)), lambda x: x + F.get(st, i)))))
+        starts = F.aggregate(done, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(join(F.element_at(a, -1), F.element_at(p, -1)))))
+        return let(starts, lambda st: F.flatten(F.transform(done, lambda p, i: F.transform(F.slice(p, 2, F.lit(PART)), lambda x: join(x, F.get(st, i))))))
 
     return let(inner, shift)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, before) of the leftmost non-overlapping matches."""
+def _matches(text: Column, pattern: str, rest: bool = False) -> Column:
+    """Array of (start, end, value, before) of the leftmost non-overlapping matches; with
+    ``rest`` also one of empty value for the text after the last."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(found: Column) -> Column:
@@ -67,9 +69,13 @@ def _matches(text: Column, pattern: str) -> Column:
             ends = _prefix(F.transform(both, lambda b: F.length(b["gap"]) + F.length(b["value"])))
             return let(ends, lambda e: F.transform(both, lambda b, i: F.struct((F.get(e, i) - F.length(b["value"])).alias("start"), F.get(e, i).alias("end"), b["value"].alias("value"), F.substring(b["gap"], -64, 64).alias("before"))))
 
+        if rest:
+            return let(F.zip_with(found, gaps, lambda v, g: F.struct(g.alias("gap"), F.coalesce(v, F.lit("")).alias("value"))), build)
         return let(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value"))), build)
 
     empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+    if rest:
+        return let(values, placed)
     return let(values, lambda found: F.when(F.size(found) == 0, empty).otherwise(placed(found)))
 
 
@@ -115,26 +121,81 @@ def base_spans(text: str | Column) -> dict[str, Column]:
     return out
 
 
-def _trimmed(found: Column) -> Column:
-    """Candidates without the marks around them; those without @ and with too few digits drop out."""
-    inner = F.transform(
-        found,
-        lambda m: let(
-            F.regexp_extract(m["value"], r"^([^A-Za-z0-9@+(]*+)(.*?)([^A-Za-z0-9)]*)$", 1),
-            lambda lead: F.struct(
-                (m["start"] + F.length(lead)).alias("start"),
-                F.regexp_replace(F.substring(m["value"], F.length(lead) + 1, F.length(m["value"])), r"[^A-Za-z0-9)]++$", "").alias("value"),
-                m["before"].alias("before"),
-            ),
-        ),
-    )
-    return F.filter(inner, lambda m: F.contains(m["value"], F.lit("@")) | (F.length(_digits(m["value"])) >= LEAST))
+def _merged(base: Column) -> Column:
+    """Base spans by start; those that overlap are one, of the first one's kind."""
+
+    def build(spans: Column) -> Column:
+        upto = _prefix(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+        def cut(ends: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(ends, i - 1)))
+            last = lambda h, j: F.coalesce(F.get(h, j + 1), F.size(spans)) - 1
+            return let(heads, lambda h: F.transform(h, lambda i, j: F.struct(F.get(spans, i)["start"].alias("start"), F.get(ends, last(h, j)).alias("end"), F.get(spans, i)["kind"].alias("kind"))))
+
+        return let(upto, cut)
+
+    return let(F.array_sort(base), lambda spans: F.when(F.size(spans) == 0, F.array().cast(_SPANS)).otherwise(build(spans)))
+
+
+def _pieces(body: Column, base: Column) -> Column:
+    """Array of (start, value, before, seed): the base spans, and the runs in the text that
+    they leave, with the text since the one before; seed is a base span's kind."""
+
+    def between(spans: Column):
+        def one(j: Column) -> Column:
+            low = F.coalesce(F.get(spans, j - 1)["end"], F.lit(0))
+            high = F.coalesce(F.get(spans, j)["start"], F.length(body))
+
+            def within(at: Column) -> Column:
+                gap = F.substring(body, at["low"] + 1, at["high"] - at["low"])
+                span = F.get(spans, j)
+                value = lambda m: F.when(m["value"] != "", m["value"]).otherwise(F.substring(body, span["start"] + 1, span["end"] - span["start"]))
+                seed = lambda m: F.when(m["value"] == "", span["kind"])
+                return F.transform(let(gap, lambda g: _matches(g, CANDIDATE, rest=True)), lambda m: F.struct((at["low"] + m["start"]).alias("start"), value(m).alias("value"), m["before"].alias("before"), seed(m).alias("seed")))
+
+            return let(F.struct(low.alias("low"), high.alias("high")), within)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), one))
+
+    # the text after the last span has no value
+    return F.filter(let(_merged(base), between), lambda m: m["value"].isNotNull())
+
+
+def _trimmed(value: Column) -> Column:
+    """(lead, value): a candidate's text without the marks around it, and their number before it."""
+    lead = F.regexp_extract(value, r"^([^A-Za-z0-9@+(]*+)(.*?)([^A-Za-z0-9)]*)$", 1)
+    return let(F.length(lead), lambda n: F.struct(n.alias("lead"), F.regexp_replace(F.substring(value, n + 1, F.length(value)), r"[^A-Za-z0-9)]++$", "").alias("value")))
+
+
+def _candidates(body: Column, base: Column) -> Column:
+    """Array of (start, value, context, shape, seed) of base spans and candidates.
+
+    Candidates are without the marks around them; those without @ and with too few digits
+    count as plain words.
+    """
+
+    def one(m: Column) -> Column:
+        whole = F.struct(F.lit(0).alias("lead"), m["value"].alias("value"))
+        inner = F.when(m["seed"].isNotNull(), whole).otherwise(_trimmed(m["value"]))
+        fits = lambda v: m["seed"].isNotNull() | F.contains(v, F.lit("@")) | (F.length(_digits(v)) >= LEAST)
+        made = lambda t: F.struct((m["start"] + t["lead"]).alias("start"), t["value"].alias("value"), m["before"].alias("before"), m["seed"].alias("seed"), F.when(fits(t["value"]), _shape(t["value"])).alias("shape"), F.substring(m["value"], -64, 64).alias("plain"))
+        return let(inner, made)
+
+    def placed(all_: Column) -> Column:
+        token = lambda i: F.coalesce(F.concat(F.lit(" <"), F.get(all_, i)["shape"], F.lit("> ")), F.get(all_, i)["plain"], F.lit(""))
+        gap = lambda i: F.coalesce(F.get(all_, i)["before"], F.lit(""))
+        # each piece is a word at least, so two of them and the text between hold the two words
+        before = lambda i: F.concat(gap(i - 2), token(i - 2), gap(i - 1), token(i - 1), gap(i))
+        found = F.transform(all_, lambda m, i: F.struct(m["start"].alias("start"), m["value"].alias("value"), F.when(m["shape"].isNotNull(), _context(before(i))).alias("context"), m["shape"].alias("shape"), m["seed"].alias("seed")))
+        return F.filter(found, lambda m: m["shape"].isNotNull())
+
+    return let(F.transform(_pieces(body, base), one), placed)
 
 
 def _context(before: Column) -> Column:
     """The last two words before a candidate, in lower case; null if there are fewer."""
     words = F.filter(F.split(F.lower(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
+    return let(words, lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, -2, 2), " ")))
 
 
 def _shape(value: Column) -> Column:
@@ -158,14 +219,12 @@ def _holds(body: Column) -> Column:
 def learn(scanned: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
     """(context, shape, kind): the patterns that the bootstrap trusts.
 
-    scanned: base, candidates. Scores are kept for each kind; a pattern's is the mean
+    scanned: candidates. Scores are kept for each kind; a pattern's is the mean
     of its instances', damped by one unknown instance, an instance's the largest of
     its patterns'. A pattern needs ``support`` distinct seeds of its kind.
     """
-    one = scanned.filter(F.size("candidates") > 0).select("base", F.inline("candidates"))
-    end = F.col("start") + F.length("value")
-    seed = F.get(F.filter("base", lambda b: (b["start"] < end) & (b["end"] > F.col("start"))), F.lit(0))["kind"]
-    edges = one.select(_context(F.col("before")).alias("context"), _shape(F.col("value")).alias("shape"), F.md5("value").alias("instance"), seed.alias("seed")).filter("context is not null")
+    one = scanned.filter(F.size("candidates") > 0).select(F.inline("candidates"))
+    edges = one.select("context", "shape", F.md5("value").alias("instance"), "seed").filter("context is not null")
     edges = edges.groupBy("context", "shape", "instance").agg(F.max("seed").alias("seed"))
     # a pattern without any seed scores 0 in the first round, and matters only through shared instances
     edges = materialize(edges, "edges")
@@ -197,13 +256,11 @@ def detect(docs: DataFrame, text: str | Column = "text", keep: list[str] | None
     body, names = as_column(text), [c for c in (docs.columns if keep is None else keep) if c not in ("base", "pii")]
     key, whole = hidden("key"), text_or_empty(body)
     texts = docs.select(whole.alias("text")).filter(_holds(F.col("text")))
-    seen = texts.select(F.md5("text").alias(key), _base(F.col("text")).alias("base"), _trimmed(_matches(F.col("text"), CANDIDATE)).alias("candidates"))
+    seen = texts.select(F.md5("text").alias(key), "text", _base(F.col("text")).alias("base")).select(key, _candidates(F.col("text"), F.col("base")).alias("candidates"))
     scanned = materialize(seen.dropDuplicates([key]), "scanned")
     trusted = learn(scanned)
-    one = scanned.select(key, "base", F.inline("candidates"))
-    end = F.col("start") + F.length("value")
-    free = ~F.exists("base", lambda b: (b["start"] < end) & (b["end"] > F.col("start")))
-    marked = one.filter(free).select(key, "start", end.alias("end"), _context(F.col("before")).alias("context"), _shape(F.col("value")).alias("shape")).join(trusted, ["context", "shape"])
+    free = scanned.select(key, F.inline("candidates")).filter("seed is null")
+    marked = free.select(key, "start", (F.col("start") + F.length("value")).alias("end"), "context", "shape").join(trusted, ["context", "shape"])
     more = materialize(marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).cast(_SPANS).alias(hidden("more"))), "found")
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
     work = docs.select(*(as_column(c) for c in names), F.md5(whole).alias(key), _base(whole).alias("base")).join(more, key, "left")

@@ -203,6 +203,14 @@ def test_op5_contexts_find_unseen_email_forms(spark):
     assert found[25] == [("email", "user@localhost")] and found[26] == [("email", "jane@exämple.org")] and found[27] == []
 
 
+def test_op5_identifiers_beside_others(spark):
+    texts = [f"mail or call jane{chr(97 + i)}@x.org +1 (555) 321-{1000 + i} now" for i in range(25)] + ["mail or call mary@x.org 0171 2345678 now"]
+    texts += [f"ring me at +1 (555) 123-{1000 + i} or +1 (555) 987-{1000 + i} now" for i in range(25)] + ["ring me at 555 123 4567, or 555 123 9999 now", "see page 7 me at 555 321 4567 now"]
+    found = found_in(spark, texts)
+    assert found[25] == [("email", "mary@x.org"), ("phone", "0171 2345678")]
+    assert found[51] == [("phone", "555 123 4567"), ("phone", "555 123 9999")] and found[52] == [("phone", "555 321 4567")]
+
+
 def test_mask_keeps_the_rest(spark, odd):
     assert sorted(map(repr, pii.mask(odd).collect())) == sorted(map(repr, odd.collect()))
 
