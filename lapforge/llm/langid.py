@@ -13,8 +13,10 @@ at most m times that). The largest gain on a run is a prefix sum and a running
 minimum. Only texts that fail this test are decoded word by word.
 
 The model is fitted on a bounded, seeded sample of labelled texts of each language
-(``TRAIN_DOCS``) of the commonest ``LANGUAGES``; everything else covers whole texts of
-all documents.
+(``TRAIN_DOCS``); every language that labels name is learned, and everything else covers
+whole texts of all documents. Counting runs on all partitions at once: each gives sparse
+counts of the languages that it met, which are summed by language before the driver gets
+one row for each. A model takes half a megabyte for a language.
 """
 
 from __future__ import annotations
@@ -29,16 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import as_column
+from .scratch import materialize
+from .text import as_column, hidden, numbered_columns, others
 
-#: Labelled texts of a language that the model is fitted on, about; languages, the commonest.
-TRAIN_DOCS, LANGUAGES = 1500, 500
+#: Labelled texts of a language that the model is fitted on, about.
+TRAIN_DOCS = 1500
 GRAM_BITS = 17
 SMOOTHING = 0.1
 #: Log-probability that a switch of language costs.
 SWITCH = 12.0
-#: Code points scored at once, whatever a text's length.
-CHUNK = 1 << 18
+#: Code points scored at once, whatever a text's length, and documents returned at once.
+CHUNK, SLICE = 1 << 18, 256
 
 #: First and last code points of scripts, in order; letters outside are "Other".
 SCRIPTS = (
@@ -192,46 +195,65 @@ class Model:
         return self.languages[top], float(mass[top] / mass.sum()), spans
 
 
+def _counted(batches):
+    """Sparse counts of trigrams, and letters by script, of each language in a partition."""
+    found: dict[str, list] = {}
+    for batch in batches:
+        for lang, t in zip(batch.column(0), batch.column(1)):
+            held = found.setdefault(lang.as_py(), [[], 0, np.zeros(len(NAMES), np.int64)])
+            for piece in _pieces(t.as_py()):
+                w = _words(piece)
+                held[0].append(np.unique(w.grams, return_counts=True))
+                held[1] += len(held[0][-1][0])
+                held[2] += np.bincount(w.script, weights=w.letters, minlength=len(NAMES)).astype(np.int64)
+                if held[1] > 4 << GRAM_BITS:
+                    held[0] = [_summed(held[0])]
+                    held[1] = len(held[0][0][0])
+    for lang, (parts, _, scripts) in found.items():
+        at, n = _summed(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32).tobytes()]), pa.array([n.astype(np.int64).tobytes()]), pa.array([scripts.tobytes()])], names=["lang", "grams", "counts", "scripts"])
+
+
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    total = np.zeros(1 << GRAM_BITS, np.int64)
+    for at, n in parts:
+        total[at] += n
+    at = np.nonzero(total)[0]
+    return at, total[at]
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """One language's counts of all partitions as one row."""
+    columns = [table.column(c).to_pylist() for c in ("grams", "counts", "scripts")]
+    at, n = _summed([(np.frombuffer(g, np.int32), np.frombuffer(c, np.int64)) for g, c in zip(*columns[:2])])
+    scripts = sum(np.frombuffer(x, np.int64) for x in columns[2])
+    return pa.table({"lang": [table["lang"][0].as_py()], "grams": [at.astype(np.int32).tobytes()], "counts": [n.tobytes()], "scripts": [scripts.tobytes()]})
+
+
 def train(labelled: DataFrame, text: str | Column = "text", language: str | Column = "lang", seed: int = 0) -> Model:
     """A model from rows with a text and a non-null language.
 
     About ``TRAIN_DOCS`` rows of each language are taken, by a seeded hash of their
-    text; whole texts count. Without rows, the model knows no language.
+    text; whole texts count, and every language is learned. Rows of one text are taken
+    or left together. Without rows, the model knows no language.
     """
+    shape = "lang string, grams binary, counts binary, scripts binary"
     rows = labelled.select(as_column(text).alias("text"), as_column(language).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in common.collect()}
-    languages = sorted(counts)
-    if not languages:
-        return Model([], np.zeros((1 << GRAM_BITS, 0), np.float32), np.zeros((len(NAMES), 0), bool), np.zeros(0))
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, TRAIN_DOCS / counts[k])))))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
-    sample = rows.filter(F.col("lang").isin(languages)).filter(drawn).select("lang", "text")
-
-    def count(batches):
-        found: dict[str, np.ndarray] = {}
-        seen: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(lang, np.zeros(1 << GRAM_BITS, np.float32))
-                seen.setdefault(lang, np.zeros(len(NAMES), np.int64))
-                for piece in _pieces(t):
-                    w = _words(piece)
-                    found[lang] += np.bincount(w.grams, minlength=1 << GRAM_BITS)
-                    seen[lang] += np.bincount(w.script, weights=w.letters, minlength=len(NAMES)).astype(np.int64)
-        for lang in found:
-            at = np.nonzero(found[lang])[0].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.tobytes()]), pa.array([found[lang][at].tobytes()]), pa.array([seen[lang].tobytes()])], names=["lang", "grams", "counts", "scripts"])
-
-    grams, scripts = np.zeros((1 << GRAM_BITS, len(languages))), np.zeros((len(NAMES), len(languages)))
-    # at most 2^GRAM_BITS counts for each language and one of 16 parts
-    for r in sample.coalesce(16).mapInArrow(count, "lang string, grams binary, counts binary, scripts binary").toLocalIterator():
-        k = languages.index(r["lang"])
-        grams[np.frombuffer(r["grams"], np.int32), k] += np.frombuffer(r["counts"], np.float32)
-        scripts[:, k] += np.frombuffer(r["scripts"], np.int64)
-    logs = np.log(grams + SMOOTHING) - np.log(grams.sum(axis=0) + SMOOTHING * (1 << GRAM_BITS))
-    total = np.maximum(scripts.sum(axis=0), 1)
-    return Model(languages, logs.astype(np.float32), scripts >= 0.01 * total, np.array([counts[k] for k in languages]) / sum(counts.values()))
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) * F.col("n") < F.lit(TRAIN_DOCS << 30)
+    counted = rows.join(sizes, "lang").filter(drawn).select("lang", "text").mapInArrow(_counted, shape)
+    sums = materialize(counted.groupBy("lang").applyInArrow(_merged, shape).join(sizes, "lang"), "counts")
+    found = sums.orderBy("lang").collect()  # one row for each language
+    languages = [r["lang"] for r in found]
+    grams, scripts = np.zeros((1 << GRAM_BITS, len(found)), np.float32), np.zeros((len(NAMES), len(found)))
+    for k, r in enumerate(found):
+        grams[np.frombuffer(r["grams"], np.int32), k] = np.frombuffer(r["counts"], np.int64)
+        scripts[:, k] = np.frombuffer(r["scripts"], np.int64)
+    total = grams.sum(axis=0, dtype=np.float64)
+    logs = np.log(grams + np.float32(SMOOTHING)) - np.log(total + SMOOTHING * (1 << GRAM_BITS)).astype(np.float32)
+    letters = np.maximum(scripts.sum(axis=0), 1)
+    n = np.array([r["n"] for r in found], dtype=np.float64)
+    return Model(languages, logs, scripts >= 0.01 * letters, n / max(1.0, n.sum()))
 
 
 def identify(docs: DataFrame, model: Model, text: str | Column = "text", keep: list[str] | None = None, spans: bool = False) -> DataFrame:
@@ -242,30 +264,33 @@ def identify(docs: DataFrame, model: Model, text: str | Column = "text", keep: l
     with score 0; so is any text if nothing was learned. A script that no language was
     seen with leaves the choice to the rest of the text, then to the commonest
     language. ``lang_spans`` are (first word, end, language). Kept columns with these
-    names are replaced; ties go to the first language in code point order.
+    names (in any case) are replaced; ties go to the first language in code point
+    order. Repeated rows are labelled alike; an empty table stays empty.
     """
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         made.append(T.StructField("lang_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))
-    names = {f.name for f in made}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    kept = others(docs.columns if keep is None else keep, [f.name for f in made])
     # a text that is kept anyway is sent once
-    own = [] if isinstance(text, str) and text in kept else [as_column(text).alias("__lapforge_text")]
+    own = [] if isinstance(text, str) and text in kept else [as_column(text).alias(hidden("text"))]
     src = docs.select(*(as_column(c) for c in kept), *own)
     at = len(kept) if own else kept.index(text)
-    schema = T.StructType([*src.schema.fields[: len(kept)], *made])
+    plain = numbered_columns(src)
+    schema = T.StructType([*plain.schema.fields[: len(kept)], *made])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^GRAM_BITS scores for each language
 
     def run(batches):
-        for batch in batches:
-            found = [shared.value.label(t.as_py()) for t in batch.column(at)]
-            columns = [pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())]
-            if spans:
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                columns.append(pa.array([[{"start": a, "end": b, "lang": k} for a, b, k in f[2]] for f in found], type=kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[f.name for f in schema])
-
-    return src.mapInArrow(run, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                found = [shared.value.label(t.as_py()) for t in batch.column(at)]
+                columns = [pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())]
+                if spans:
+                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+                    columns.append(pa.array([[{"start": a, "end": b, "lang": k} for a, b, k in f[2]] for f in found], type=kind))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[f.name for f in schema])
+
+    return plain.mapInArrow(run, schema).toDF(*kept, *(f.name for f in made))
 
 
 def held_out(doc_id: str | Column = "doc_id", folds: int = 4, fold: int = 2) -> Column:

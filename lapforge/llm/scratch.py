@@ -2,11 +2,16 @@
 
 A written table survives the loss of any executor, is computed once however often
 it is read, and carries file sizes, so the planner chooses broadcasts by measured
-size. The folder is the session's ``spark.checkpoint.dir``.
+size. The folder is the session's ``spark.checkpoint.dir``. Frames are lazy, so an
+operator can't know when its tables are done with: who runs it deletes them, by
+``scope`` around the work (as the pipeline does around each stage) or by ``clear``.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -16,10 +21,19 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where it is unset, a temporary one is set."""
+    """The session's checkpoint folder.
+
+    Where it is unset, a local session, whose executors are its own threads, gets a
+    temporary one that goes with the process; on a cluster that is an error, as
+    executors would write to disks that others can't read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lapforge-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lapforge-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -33,9 +47,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables written so far; frames that read them become invalid."""
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written so far (from the ``since``-th on); frames that read them become invalid."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop()).getParent()
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Deletes, at its end, the tables written within; yields a function that exempts a frame's own table."""
+    start, kept = len(_WRITTEN), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(_WRITTEN.pop())
+        return out
+
+    yield keep
+    clear(spark, start)
+    _WRITTEN.extend(kept)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words, and a word.
@@ -10,8 +10,24 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part, whatever dots or backticks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def as_column(x: str | Column) -> Column:
-    return F.col(f"`{x}`") if isinstance(x, str) else x
+    return F.col(quoted(x)) if isinstance(x, str) else x
+
+
+def others(names: list[str], made: tuple[str, ...] | list[str]) -> list[str]:
+    """``names`` without those that clash with ``made``, compared as Spark does: without case."""
+    taken = {m.lower() for m in made}
+    return [n for n in names if n.lower() not in taken]
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, ...: Arrow functions take no dots in names."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
 def text_or_empty(text: str | Column) -> Column:
