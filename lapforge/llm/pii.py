@@ -1,11 +1,14 @@
 """Personal data by base patterns and by bootstrapped contexts, without Python on rows.
 
 Base patterns find e-mail and network addresses, cards and phone numbers. They seed a
-graph over the whole corpus: other candidates are runs of words that hold a digit or ``@``
-in the text that base spans leave, a candidate's pattern is the two words before it,
-where identifiers count by their shapes, with its own shape (with @, or how many
-digits, and whether letters are among them), and an edge joins a pattern to the instance
-(the candidate's text) that it stands before. Scores go back and forth a few rounds:
+graph over the whole corpus, and so do assigned secrets (a quoted string of 20 or more
+characters, letters and digits mixed, after a word that ends with = or :), which aren't
+spans by themselves. Other candidates are runs of words that hold a digit or ``@`` in the
+text that base spans leave, a candidate's pattern is the two words before it (where a
+text starts, its start counts as a word), where identifiers count by their shapes, with
+its own shape (with @, or how many digits, and whether letters are among them), and an
+edge joins a pattern to the instance (the candidate's text) that it stands before.
+Scores go back and forth a few rounds:
 a pattern is as trustworthy for a kind as the instances it extracts, an instance as
 the patterns that extract it; seeds keep score 1 for their kind. Patterns of high
 score and support then mark their other candidates, unseen identifiers, as that kind.
@@ -23,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .text import as_column, hidden, let, text_or_empty
+from .text import as_column, hidden, let, others, quoted, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind that only the bootstrap marks, and the form of its seeds before their word.
+SECRET, SECRET_FORM = "secret", r"""^["'`][A-Za-z0-9+/_=.-]{20,}+["'`]"""
 #: The base patterns in linear form; cards only as whole runs of 12 to 19 digits.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -57,9 +62,10 @@ def _prefix(sizes: Column, join=lambda a, x: a + x) -> Column:
     return let(inner, shift)
 
 
-def _matches(text: Column, pattern: str, rest: bool = False) -> Column:
+def _matches(text: Column, pattern: str, rest: bool = False, inner: Column | None = None) -> Column:
     """Array of (start, end, value, before) of the leftmost non-overlapping matches; with
-    ``rest`` also one of empty value for the text after the last."""
+    ``rest`` also one of empty value for the text after the last. ``before`` is the end of
+    the text since the match before; ``inner`` tells if a text stands before this one."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(found: Column) -> Column:
@@ -67,7 +73,7 @@ def _matches(text: Column, pattern: str, rest: bool = False) -> Column:
 
         def build(both: Column) -> Column:
             ends = _prefix(F.transform(both, lambda b: F.length(b["gap"]) + F.length(b["value"])))
-            return let(ends, lambda e: F.transform(both, lambda b, i: F.struct((F.get(e, i) - F.length(b["value"])).alias("start"), F.get(e, i).alias("end"), b["value"].alias("value"), F.substring(b["gap"], -64, 64).alias("before"))))
+            return let(ends, lambda e: F.transform(both, lambda b, i: F.struct((F.get(e, i) - F.length(b["value"])).alias("start"), F.get(e, i).alias("end"), b["value"].alias("value"), _tail(b["gap"], (i > 0) if inner is None else (i > 0) | inner).alias("before"))))
 
         if rest:
             return let(F.zip_with(found, gaps, lambda v, g: F.struct(g.alias("gap"), F.coalesce(v, F.lit("")).alias("value"))), build)
@@ -79,6 +85,12 @@ def _matches(text: Column, pattern: str, rest: bool = False) -> Column:
     return let(values, lambda found: F.when(F.size(found) == 0, empty).otherwise(placed(found)))
 
 
+def _tail(gap: Column, inside: Column) -> Column:
+    """The last two words of a gap and what follows them; ``^`` stands before a gap that a text starts with."""
+    whole = F.when(inside, gap).otherwise(F.concat(F.lit("^ "), gap))
+    return F.reverse(F.regexp_extract(F.reverse(whole), r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,2}+", 0))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -151,7 +163,7 @@ def _pieces(body: Column, base: Column) -> Column:
                 span = F.get(spans, j)
                 value = lambda m: F.when(m["value"] != "", m["value"]).otherwise(F.substring(body, span["start"] + 1, span["end"] - span["start"]))
                 seed = lambda m: F.when(m["value"] == "", span["kind"])
-                return F.transform(let(gap, lambda g: _matches(g, CANDIDATE, rest=True)), lambda m: F.struct((at["low"] + m["start"]).alias("start"), value(m).alias("value"), m["before"].alias("before"), seed(m).alias("seed")))
+                return F.transform(let(gap, lambda g: _matches(g, CANDIDATE, rest=True, inner=j > 0)), lambda m: F.struct((at["low"] + m["start"]).alias("start"), value(m).alias("value"), m["before"].alias("before"), seed(m).alias("seed")))
 
             return let(F.struct(low.alias("low"), high.alias("high")), within)
 
@@ -176,9 +188,12 @@ def _candidates(body: Column, base: Column) -> Column:
 
     def one(m: Column) -> Column:
         whole = F.struct(F.lit(0).alias("lead"), m["value"].alias("value"))
+        letters = F.length(F.regexp_replace(m["value"], "[^A-Za-z]", ""))
+        secret = F.rlike(m["value"], F.lit(SECRET_FORM)) & (F.length(_digits(m["value"])) >= LEAST) & (letters >= LEAST) & F.rlike(m["before"], F.lit(r"[=:]\s*$"))
+        seed = F.coalesce(m["seed"], F.when(secret, F.lit(SECRET)))
         inner = F.when(m["seed"].isNotNull(), whole).otherwise(_trimmed(m["value"]))
         fits = lambda v: m["seed"].isNotNull() | F.contains(v, F.lit("@")) | (F.length(_digits(v)) >= LEAST)
-        made = lambda t: F.struct((m["start"] + t["lead"]).alias("start"), t["value"].alias("value"), m["before"].alias("before"), m["seed"].alias("seed"), F.when(fits(t["value"]), _shape(t["value"])).alias("shape"), F.substring(m["value"], -64, 64).alias("plain"))
+        made = lambda t: F.struct((m["start"] + t["lead"]).alias("start"), t["value"].alias("value"), m["before"].alias("before"), seed.alias("seed"), F.when(fits(t["value"]), _shape(t["value"])).alias("shape"), _tail(m["value"], F.lit(True)).alias("plain"))
         return let(inner, made)
 
     def placed(all_: Column) -> Column:
@@ -246,26 +261,39 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, suppor
     return materialize(best.select("context", "shape", F.col("best.kind").alias("kind")), "trusted")
 
 
+def _found(scanned: DataFrame, key: str) -> DataFrame:
+    """(key, more): spans of trusted patterns in each text, from candidates by text."""
+    trusted = learn(scanned)
+    free = scanned.select(key, F.inline("candidates")).filter(F.coalesce(F.col("seed"), F.lit(SECRET)) == SECRET)
+    marked = free.select(key, "start", (F.col("start") + F.length("value")).alias("end"), "context", "shape").join(trusted, ["context", "shape"])
+    return materialize(marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).cast(_SPANS).alias(hidden("more"))), "found")
+
+
 def detect(docs: DataFrame, text: str | Column = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns, ``base`` and ``pii``: arrays of (start, end, kind).
 
     ``pii`` holds the base spans and those of trusted patterns, by start, then kind as
-    in ``KINDS``. Null and empty texts have none. Rows with equal texts have equal
-    spans. An empty table gives no rows. Kept columns with these names are replaced.
+    in ``KINDS``, ``secret`` last. Null and empty texts have none. Rows with equal texts
+    have equal spans. An empty table gives no rows. Kept columns with these names, in
+    any case, are replaced. Where the text isn't kept, texts are read once.
     """
-    body, names = as_column(text), [c for c in (docs.columns if keep is None else keep) if c not in ("base", "pii")]
-    key, whole = hidden("key"), text_or_empty(body)
-    texts = docs.select(whole.alias("text")).filter(_holds(F.col("text")))
-    seen = texts.select(F.md5("text").alias(key), "text", _base(F.col("text")).alias("base")).select(key, _candidates(F.col("text"), F.col("base")).alias("candidates"))
-    scanned = materialize(seen.dropDuplicates([key]), "scanned")
-    trusted = learn(scanned)
-    free = scanned.select(key, F.inline("candidates")).filter("seed is null")
-    marked = free.select(key, "start", (F.col("start") + F.length("value")).alias("end"), "context", "shape").join(trusted, ["context", "shape"])
-    more = materialize(marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).cast(_SPANS).alias(hidden("more"))), "found")
-    rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
-    work = docs.select(*(as_column(c) for c in names), F.md5(whole).alias(key), _base(whole).alias("base")).join(more, key, "left")
+    kept = others(docs.columns if keep is None else keep, ["base", "pii"])
+    key, whole, names = hidden("key"), text_or_empty(text), [quoted(c) for c in kept]
+    wide = isinstance(text, str) and text in kept
+    src = docs.select(*names, whole.alias(hidden("text")))
+    body, none = F.col(hidden("text")), F.array().cast(_SPANS)
+    based = src.select(*names, F.md5(body).alias(key), hidden("text"), _base(body).alias("base"))
+    seen = based.select(*([] if wide else names), key, "base", F.when(_holds(body), _candidates(body, F.col("base"))).alias("candidates"))
+    if wide:  # texts aren't written again: those with a digit or @ are searched once more instead
+        seen = materialize(seen.filter("candidates is not null").select(key, "candidates").dropDuplicates([key]), "scanned")
+        more, work = _found(seen, key), based.select(*names, key, "base")
+    else:
+        work = materialize(seen, "scanned")
+        more = _found(work.filter("candidates is not null").select(key, "candidates").dropDuplicates([key]), key)
+    rank = lambda k: F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), k)
+    work = work.join(more, key, "left")
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"], rank(s["kind"]).alias("rank"), s["end"], s["kind"]))), lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(_SPANS)
-    return work.select(*(F.col(f"`{c}`") for c in names), order(F.col("base")).alias("base"), order(F.concat("base", F.coalesce(F.col(hidden("more")), F.array().cast(_SPANS)))).alias("pii"))
+    return work.select(*names, order(F.col("base")).alias("base"), order(F.concat("base", F.coalesce(F.col(hidden("more")), none))).alias("pii"))
 
 
 def written(spans: str) -> Column:
@@ -274,29 +302,33 @@ def written(spans: str) -> Column:
 
 
 def digests(found: DataFrame, keep: list[str]) -> DataFrame:
-    """Counts of the base spans by kind, their digest, and all spans as text."""
+    """Counts of the base spans by kind, their digest, all spans as text, and how many there are."""
     counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(*keep, *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("pii").alias("spans"))
+    return found.select(*keep, *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("pii").alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets.
 
     Spans that overlap are replaced together, by the kind of the first. A null text
-    stays null; columns and their order stay as they are.
+    stays null; columns and their order stay as they are, whatever their names; every
+    row stays, repeated ones too. An empty table stays empty.
     """
-    found = detect(docs, text)
+    # the input's own columns may clash with those that spans are kept in
+    plain = docs.toDF(*(hidden(f"c{i}") if c != text else hidden("body") for i, c in enumerate(docs.columns)))
+    found = detect(plain, hidden("body"))
+    last = lambda a: F.element_at(a, -1)
     runs = F.aggregate(
         "pii",
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.element_at(a, -1)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"), F.element_at(a, -1)["kind"].alias("kind"))))).otherwise(F.concat(a, F.array(s))),
+        F.array().cast(_SPANS),
+        lambda a, s: F.when((F.size(a) > 0) & (s["start"] < last(a)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"), last(a)["kind"].alias("kind"))))).otherwise(F.concat(a, F.array(s))),
     )
-    body = F.col(f"`{text}`")
+    body = F.col(hidden("body"))
     masked = let(
         runs,
         lambda r: F.concat(
             F.array_join(F.transform(r, lambda s, i: F.concat(let(F.when(i > 0, F.get(r, i - 1)["end"]).otherwise(F.lit(0)), lambda at: F.substring(body, at + 1, s["start"] - at)), F.lit("<"), s["kind"], F.lit(">"))), ""),
-            F.substring(body, F.element_at(r, -1)["end"] + 1, F.length(body)),
+            F.substring(body, last(r)["end"] + 1, F.length(body)),
         ),
     )
-    return found.withColumn(text, F.when(F.size("pii") == 0, body).otherwise(masked)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.withColumn(hidden("body"), F.when(F.size("pii") == 0, body).otherwise(masked)).drop("base", "pii").toDF(*docs.columns)
