@@ -130,7 +130,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    judged = urls.judge(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined", " | ").alias("mined"))
 
 
