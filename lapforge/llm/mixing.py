@@ -15,19 +15,17 @@ documents, so no text is shuffled.
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .text import as_column, hidden, word_count
+from .text import as_column, hidden, others, quoted, word_count
 
 #: Most membership patterns that the driver solves for; beyond it mixing raises.
 MAX_PATTERNS = 50_000
-BUCKETS = 4096
+#: Flow, in words, that counts as none.
+LEAST = 1e-6
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -49,63 +47,86 @@ def targets(sizes: dict, weights: dict, share: float = 1.5, most: float = 2.0) -
     return quota
 
 
-@dataclass
-class _Arc:
-    to: int
-    room: float
-    cost: int
-    back: int
+class _Network:
+    """Arcs with room left; Dinic's maximum flow by levels, without recursion."""
+
+    def __init__(self, nodes: int):
+        self.to: list[int] = []
+        self.room: list[float] = []
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+
+    def link(self, a: int, b: int, room: float) -> int:
+        """An arc and its reverse, which stands next to it."""
+        for x, y, r in ((a, b, room), (b, a, 0.0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def _levels(self, start: int) -> list[int]:
+        level = [-1] * len(self.out)
+        level[start], queue = 0, [start]
+        for a in queue:
+            for i in self.out[a]:
+                if self.room[i] > LEAST and level[self.to[i]] < 0:
+                    level[self.to[i]] = level[a] + 1
+                    queue.append(self.to[i])
+        return level
+
+    def fill(self, start: int, end: int) -> None:
+        """Push as much as goes from ``start`` to ``end``."""
+        to, room = self.to, self.room
+        while (level := self._levels(start))[end] >= 0:
+            after = [0] * len(self.out)
+            path: list[int] = []
+            a = start
+            while True:
+                if a == end:
+                    push = min(room[i] for i in path)
+                    for i in path:
+                        room[i] -= push
+                        room[i ^ 1] += push
+                    # go on from before the first arc that is full
+                    full = next(k for k, i in enumerate(path) if room[i] <= LEAST)
+                    a = to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                while after[a] < len(self.out[a]):
+                    i = self.out[a][after[a]]
+                    if room[i] > LEAST and level[to[i]] == level[a] + 1:
+                        break
+                    after[a] += 1
+                if after[a] < len(self.out[a]):
+                    path.append(i)
+                    a = to[i]
+                elif path:
+                    a = to[path.pop() ^ 1]
+                    after[a] += 1
+                else:
+                    break
 
 
 def route(capacity: dict[tuple, int], quota: dict, epochs: int = 2) -> dict[tuple[tuple, object], float]:
     """Tokens from each pattern to each of its sources, by min-cost flow.
 
-    Successive shortest paths with potentials. Pass k over a pattern holds its
-    capacity once at cost k. Arcs are visited in sorted order, so results agree
-    between runs. Returns only flows above 0.
+    Every path leaves the start by one arc, a pass over one pattern, and only these
+    have costs, which rise by the pass. So the cheapest flow fills the network with all
+    first passes, then with second ones on top, and so on; later passes may reroute
+    what earlier ones sent. Arcs are visited in a fixed order, so results agree between
+    runs. Returns only flows above 0.
     """
     patterns, sources = list(capacity), list(quota)
-    at = {("p", p): 1 + i for i, p in enumerate(patterns)} | {("s", s): 1 + len(patterns) + i for i, s in enumerate(sources)}
-    sink = 1 + len(at)
-    arcs: list[list[_Arc]] = [[] for _ in range(sink + 1)]
-
-    def link(a: int, b: int, room: float, cost: int) -> _Arc:
-        arcs[a].append(_Arc(b, room, cost, len(arcs[b])))
-        arcs[b].append(_Arc(a, 0.0, -cost, len(arcs[a]) - 1))
-        return arcs[a][-1]
-
-    flows = {}
-    for p in patterns:
-        for k in range(1, epochs + 1):
-            link(0, at["p", p], float(capacity[p]), k)
-        for s in p:
-            flows[p, s] = link(at["p", p], at["s", s], float("inf"), 0)
+    sink = 1 + len(patterns) + len(sources)
+    net = _Network(sink + 1)
+    at = {s: 1 + len(patterns) + i for i, s in enumerate(sources)}
+    flows = {(p, s): net.link(1 + i, at[s], float("inf")) for i, p in enumerate(patterns) for s in p}
     for s in sources:
-        link(at["s", s], sink, quota[s], 0)
-    potential = [0] * len(arcs)
-    while True:
-        cost, via = {0: 0}, {}
-        queue = [(0, 0)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > cost[a]:
-                continue
-            for i, arc in enumerate(arcs[a]):
-                if arc.room > 1e-6 and (e := d + arc.cost + potential[a] - potential[arc.to]) < cost.get(arc.to, float("inf")):
-                    cost[arc.to], via[arc.to] = e, (a, i)
-                    heapq.heappush(queue, (e, arc.to))
-        if sink not in cost:
-            return {k: arcs[arc.to][arc.back].room for k, arc in flows.items() if arcs[arc.to][arc.back].room > 1e-6}
-        for a in range(len(arcs)):
-            potential[a] += min(cost.get(a, cost[sink]), cost[sink])
-        path, a = [], sink
-        while a:
-            a, i = via[a]
-            path.append(arcs[a][i])
-        push = min(arc.room for arc in path)
-        for arc in path:
-            arc.room -= push
-            arcs[arc.to][arc.back].room += push
+        net.link(at[s], sink, float(quota[s]))
+    for _ in range(epochs):
+        for i, p in enumerate(patterns):
+            net.link(0, 1 + i, float(capacity[p]))
+        net.fill(0, sink)
+    return {k: net.room[i ^ 1] for k, i in flows.items() if net.room[i ^ 1] > LEAST}
 
 
 def _cuts(small: DataFrame, quota: DataFrame) -> DataFrame:
@@ -131,8 +152,9 @@ def _cuts(small: DataFrame, quota: DataFrame) -> DataFrame:
     return quota.join(cuts, "pattern", "left").select("pattern", "times", "cut")
 
 
-def plan(docs: DataFrame, sources: Column, doc_id: Column, size: Column, text: Column, quotas=None, epochs: int = 2, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per document size and pattern; cuts of the patterns; sizes and targets of the sources.
+def plan(docs: DataFrame, sources: Column, doc_id: Column, size: Column, text: Column, quotas=None, epochs: int = 2, seed: int = 0, carry: tuple[Column, ...] = ()) -> tuple[Column, DataFrame, DataFrame, DataFrame]:
+    """The pattern; cuts of the patterns; sizes and targets of the sources; and a written
+    row for each document with the ``carry`` columns, pattern, size and hash.
 
     sources: a string, or an array of strings for documents in several sources; null
     is a source of its own. quotas: f(sizes by source) -> targets by source.
@@ -142,7 +164,7 @@ def plan(docs: DataFrame, sources: Column, doc_id: Column, size: Column, text: C
     members = F.array_sort(F.array_distinct(sources)) if kind == "array" else F.array(sources)
     # a text form that tells null from any string and sorts patterns like their sources
     pattern = F.to_json(F.struct(F.transform(members, lambda x: F.coalesce(F.hex(F.encode(x, "utf-8")), F.lit("~"))).alias("s")))
-    small = materialize(docs.select(pattern.alias("pattern"), size.alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("hash")), "sizes")
+    small = materialize(docs.select(*carry, pattern.alias("pattern"), size.alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("hash")), "sizes")
     found = small.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: merge rare sources first")
@@ -164,9 +186,9 @@ def plan(docs: DataFrame, sources: Column, doc_id: Column, size: Column, text: C
         rows.append((keys[p], times, float(max(0.0, amount - times * room))))
     shape = "pattern string, times int, extra double"
     amounts = materialize(spark.createDataFrame(rows, shape).coalesce(1), "amounts")
-    cuts = materialize(_cuts(small, amounts), "cuts")
+    cuts = materialize(_cuts(small.select("pattern", "size", "hash"), amounts), "cuts")
     about = [(s, sizes[s], float(quota[s])) for s in sizes]
-    return pattern, cuts, materialize(spark.createDataFrame(about, "source_key string, source_size long, target double").coalesce(1), "targets")
+    return pattern, cuts, materialize(spark.createDataFrame(about, "source_key string, source_size long, target double").coalesce(1), "targets"), small
 
 
 def by_weights(sizes: dict[str, int]) -> dict[str, float]:
@@ -175,33 +197,37 @@ def by_weights(sizes: dict[str, int]) -> dict[str, float]:
 
 
 def mix(docs: DataFrame, source: str | Column = "source", doc_id: str = "doc_id", text: str = "text", quotas=None, epochs: int = 2, seed: int = 0) -> DataFrame:
-    """``docs`` with ``mix_size`` (words), ``mix_times`` and ``source_key``.
+    """``docs`` with ``mix_size`` (words) and ``mix_times``.
 
     A null text has size 0; a null source is a source of its own. Documents of size 0
     are taken as often as others of their hash. Rows that agree in doc_id and text
     share a hash and so are taken alike. Reruns agree whatever the partitioning. An
-    empty table stays empty. Columns with these three names are replaced.
+    empty table stays empty. Columns with these two names, in any case, are replaced.
     """
-    docs = docs.drop("mix_size", "mix_times", "source_key")
+    names = others(docs.columns, ["mix_size", "mix_times"])
+    docs = docs.select(*map(quoted, names))
     src, ident, body = as_column(source), as_column(doc_id), as_column(text)
-    pattern, cuts, _ = plan(docs, src, ident, word_count(body), body, quotas, epochs, seed)
-    return _apply(docs, pattern, cuts, ident, body, word_count(body), seed)
+    pattern, cuts, _, _ = plan(docs, src, ident, word_count(body), body, quotas, epochs, seed)
+    work = docs.select(*map(quoted, names), pattern.alias(hidden("pattern")), F.xxhash64(F.lit(seed), ident, body).alias(hidden("hash")), word_count(body).alias("mix_size"))
+    return _counted(work, cuts, hidden("pattern"), hidden("hash")).select(*map(quoted, names), "mix_size", F.col(hidden("passes")).alias("mix_times"))
 
 
-def _apply(docs, pattern, cuts, ident, body, size, seed):
-    order = F.xxhash64(F.lit(seed), ident, body).bitwiseXOR(F.lit(-(1 << 63)))
-    work = docs.withColumns({hidden("pattern"): pattern, hidden("order"): order, "mix_size": size})
-    cuts = cuts.select(F.col("pattern").alias(hidden("pattern")), F.col("times").alias(hidden("times")), F.col("cut").alias(hidden("cut")))
-    more = F.coalesce((F.col(hidden("order")) <= F.col(hidden("cut"))).cast("int"), F.lit(0))
-    work = work.join(cuts, hidden("pattern"), "left").withColumn("mix_times", F.coalesce(F.col(hidden("times")), F.lit(0)) + more)
-    return work.select(*docs.columns, "mix_size", "mix_times")
+def _counted(rows: DataFrame, cuts: DataFrame, pattern: str, hash_: str) -> DataFrame:
+    """``rows`` with how often the cuts take them."""
+    cuts = cuts.select(F.col("pattern").alias(hidden("key")), F.col("times").alias(hidden("times")), F.col("cut").alias(hidden("cut")))
+    order = F.col(hash_).bitwiseXOR(F.lit(-(1 << 63)))
+    more = F.coalesce((order <= F.col(hidden("cut"))).cast("int"), F.lit(0))
+    joined = rows.join(cuts, F.col(pattern) == F.col(hidden("key")), "left")
+    return joined.withColumn(hidden("passes"), F.coalesce(F.col(hidden("times")), F.lit(0)) + more)
 
 
 def mixed_words(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document of one source each."""
+    """doc_id, size, source_size, target, taken for every document of one source each.
+
+    Texts are read once: what decides is written as a small row for each document.
+    """
     src, ident, body = as_column(source), as_column(doc_id), as_column(text)
-    pattern, cuts, about = plan(docs, src, ident, word_count(body), body, None, 2, seed)
-    small = docs.select(src.alias("source"), ident.alias("doc_id"), body.alias("text"))
-    done = _apply(small, pattern, cuts, F.col("doc_id"), F.col("text"), word_count("text"), seed)
-    done = done.withColumn("source_key", F.coalesce(F.hex(F.encode("source", "utf-8")), F.lit("~"))).join(about, "source_key", "left")
-    return done.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_times")).cast("long").alias("taken"))
+    carry = (ident.alias("doc_id"), F.coalesce(F.hex(F.encode(src, "utf-8")), F.lit("~")).alias("source_key"))
+    _, cuts, about, small = plan(docs, src, ident, word_count(body), body, None, 2, seed, carry)
+    done = _counted(small, cuts, "pattern", "hash").join(about, "source_key", "left")
+    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col(hidden("passes"))).cast("long").alias("taken"))
