@@ -5,7 +5,9 @@ A fingerprint's 64 bits are cut into segments. If two fingerprints differ in at
 as the radii plus one add up to distance plus one. So every fingerprint stands in a
 table under the value of each segment, and looks up the values within the radius of
 its own (a small Hamming ball); what it finds is verified by the complete distance.
-Only distinct fingerprints are searched, so exact copies cost one entry.
+Only distinct fingerprints are searched, so exact copies cost one entry. Longer segments
+have larger balls but fewer fingerprints under a value, so their number follows from how
+many fingerprints there are.
 
 Segment values held by more than ``hot`` fingerprints are not searched by pairs.
 Fingerprints that meet there are linked over common centres instead: two differ in at
@@ -32,7 +34,9 @@ from .text import as_column, hidden, text_or_empty
 SEED = 42
 #: Shingles hashed at once, whatever a text's length.
 CHUNK = 200_000
-SEGMENTS = 3
+#: Segments, and the number of fingerprints from which two are cheaper than three: 562
+#: probes of 2^32 values against 46 of 2^21.
+SEGMENTS, MANY = 3, 1 << 25
 #: Fingerprints under one segment value from which common centres replace pairs.
 HOT = 2048
 
@@ -95,14 +99,14 @@ def segments(distance: int, parts: int = SEGMENTS) -> list[tuple[list[int], int]
     return [x for x in out if x[1] >= 0]
 
 
-def links(prints: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame:
+def links(prints: DataFrame, distance: int = 4, hot: int = HOT, many: int = MANY) -> DataFrame:
     """(u, v): links that connect the distinct ``fingerprint`` values of ``prints``.
 
     Every pair at ``distance`` or less is either a row itself or joined by a path of
     rows; no row joins fingerprints of different components.
     """
     own = prints.select("fingerprint")
-    plan = segments(distance)
+    plan = segments(distance, SEGMENTS if own.count() < many else SEGMENTS - 1)
     entry, probe = [], []
     for i, (bits, radius) in enumerate(plan):
         mask = F.lit(_signed(sum(1 << b for b in bits)))

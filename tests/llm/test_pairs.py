@@ -72,8 +72,8 @@ def test_op4(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 4, 2048])
-def test_links_of_hot_values_are_exact(spark, hot):
+@pytest.mark.parametrize("hot,many", [(1, 1 << 25), (4, 1 << 25), (2048, 1 << 25), (4, 1), (2048, 1)])
+def test_links_of_hot_values_are_exact(spark, hot, many):
     rng = np.random.default_rng(9)
     centres = rng.integers(0, 1 << 63, 12)
     values = {0}
@@ -86,7 +86,7 @@ def test_links_of_hot_values_are_exact(spark, hot):
     values = sorted(values)
     near = [(a, b) for i, a in enumerate(values) for b in values[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
     want = rooted(near, values)
-    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fingerprint long"), 4, hot).collect()
+    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fingerprint long"), 4, hot, many).collect()
     assert rooted([(r.u, r.v) for r in found], values) == want
 
 
