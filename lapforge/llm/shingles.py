@@ -1,35 +1,55 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Texts with equal sets of shingles are one node. A node's MinHash signature is cut into
-bands, and nodes that share a band are candidates; two sets of similarity s share none
-of ``BANDS`` bands of ``ROWS`` rows with probability (1 - s^ROWS)^BANDS, 8e-5 at 0.8 and
-2e-6 at 0.85. Candidates are gathered into clusters (each node to the least of each of
-its bands, which keeps them connected and is linear), and within a cluster all pairs
-are compared by their whole sets. A large cluster is cut into blocks, and each pair of
-blocks is one group, so no task holds more than two blocks whatever a cluster's size.
+"""Near copies by exact Jaccard similarity of word shingles, on top of SimHash.
+
+Texts with equal sets of shingles are one node. Candidates are nodes whose SimHash
+fingerprints multi-index hashing links, and, as 64 bits hardly tell a similarity of 0.8,
+nodes that share a band of a MinHash signature: two sets of similarity s share none of
+``BANDS`` bands of ``ROWS`` rows with probability (1 - s^ROWS)^BANDS, 8e-5 at 0.8 and 2e-6
+at 0.85. Candidates are gathered into clusters (each node to the least of each of its
+bands, which keeps them connected and is linear), and within a cluster nodes are compared
+by their whole sets.
+
+A cluster of at most a block of nodes is compared pair by pair in one task. In a larger
+one, work stays near linear where its members are copies of a few texts:
+
+1. Shingles that only one node of the cluster has are counted. A node can be similar to
+   another only if what it shares with the cluster is ``similarity`` of its size, and to
+   one of size s only if it is similarity / (1 + similarity) of both sizes together; nodes
+   that share less leave. Texts with a common passage and much of their own end here.
+2. All others are compared with a few centres, the nodes with least of their own, and
+   with the members of their own block. This links nearly all copies of a text.
+3. Nodes outside the cluster's largest component are compared with all nodes of a size
+   that 1 allows, block by block. Pairs inside that component need no comparison.
+
+No task holds more than two blocks, and no link is lost.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .components import components
 from .scratch import materialize
-from .simhash import keep_least
 from .text import as_column, text_or_empty
 
 SEED = 42
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 7, 40
-#: Nodes in a block; shingles that are hashed or compared at once.
-BLOCK, CHUNK = 256, 4096
+#: Bits in which the fingerprints of SimHash's candidates differ at most.
+DISTANCE = 4
+#: Nodes in a block and centres of a cluster; shingles that are hashed or compared at once.
+BLOCK, CENTRES, CHUNK = 256, 32, 4096
+#: Documents that are returned at once, whatever Spark's batches hold.
+SLICE = 256
 _DRAW = np.random.default_rng(SEED)
 _FACTORS = _DRAW.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _DRAW.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2)
@@ -76,34 +96,39 @@ def _marked(docs: DataFrame, doc_id: str | Column, text: str | Column) -> DataFr
 
 
 def _nodes(src: DataFrame, words: int) -> DataFrame:
-    """(doc_id, mark, node, bands) of every document."""
+    """(doc_id, mark, node, print, bands) of every document."""
     import xxhash
 
-    schema = T.StructType([src.schema["doc_id"], T.StructField("mark", T.StringType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([src.schema["doc_id"], T.StructField("mark", T.StringType()), T.StructField("node", T.LongType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            nodes, bands = [], []
-            for t in batch.column("text"):
-                found = shingles(t.as_py(), words)
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                bands += _bands(found) if len(found) else [0] * BANDS
-            flat = pa.array(np.array(bands, dtype=np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), lists], names=schema.names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                nodes, prints, bands = [], [], []
+                for t in batch.column("text"):
+                    found = shingles(t.as_py(), words)
+                    nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                    prints.append(simhash.majority(found))
+                    bands += _bands(found) if len(found) else [0] * BANDS
+                longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints, bands)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), longs[2])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *longs[:2], lists], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
 def _sets(src: DataFrame, words: int) -> DataFrame:
-    """(node, cluster, blocks, found) with the whole set of shingles of each node."""
+    """(node, cluster, n, found) with the whole set of shingles of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            made = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cluster", "blocks")), made], names=["node", "cluster", "blocks", "found"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                made = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cluster", "n")), made], names=["node", "cluster", "n", "found"])
 
-    return src.select("node", "cluster", "blocks", "text").mapInArrow(run, "node long, cluster long, blocks long, found binary")
+    return src.select("node", "cluster", "n", "text").mapInArrow(run, "node long, cluster long, n long, found binary")
 
 
 def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
@@ -141,16 +166,82 @@ def _joined(nodes: np.ndarray, near: np.ndarray) -> tuple[list[int], list[int]]:
     return u, v
 
 
-def _verified(copies: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links that connect the nodes that are similar, from (cluster, a, b, node, found)."""
+def _compared(nodes: np.ndarray, found: list, similarity: float) -> tuple[list[int], list[int]]:
+    """(u, v): links that connect those of the nodes that are similar."""
+    return _joined(nodes, similar([np.frombuffer(f, np.uint64) for f in found], similarity))
+
+
+def _verified(copies: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """(u, v): links that connect similar nodes of one group of ``keys`` and one cluster.
+
+    copies: keys, cluster, node, found; a node may occur more than once.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        sets = [np.frombuffer(f.as_py(), np.uint64) for f in table.column("found")]
-        u, v = _joined(nodes, similar(sets, similarity))
+        order = np.lexsort((table.column("node").to_numpy(), table.column("cluster").to_numpy()))
+        cluster, nodes = table.column("cluster").to_numpy()[order], table.column("node").to_numpy()[order]
+        fresh = np.append(True, (cluster[1:] != cluster[:-1]) | (nodes[1:] != nodes[:-1]))
+        cluster, nodes, order = cluster[fresh], nodes[fresh], order[fresh]
+        found = table.column("found").combine_chunks().take(pa.array(order)).to_pylist()
+        u, v = [], []
+        cuts = [0, *(np.nonzero(cluster[1:] != cluster[:-1])[0] + 1).tolist(), len(nodes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                more = _compared(nodes[a:b], found[a:b], similarity)
+                u += more[0]
+                v += more[1]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return copies.groupBy("cluster", "a", "b").applyInArrow(run, "u long, v long")
+    return copies.select(*keys, *(c for c in ("cluster", "node", "found") if c not in keys)).groupBy(*keys).applyInArrow(run, "u long, v long")
+
+
+def _tokens(sets: DataFrame) -> DataFrame:
+    """(cluster, node, token) for each shingle of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for cluster, node, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                tokens = np.frombuffer(found.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), cluster)), pa.array(np.full(len(tokens), node)), pa.array(tokens)], names=["cluster", "node", "token"])
+
+    return sets.select("cluster", "node", "found").mapInArrow(run, "cluster long, node long, token long")
+
+
+def _blocks(size: Column, block: int) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(size / F.lit(block)).cast("long"))
+
+
+def _large(sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v): links of clusters that are larger than a block."""
+    # 1: what a node shares with its cluster
+    own = _tokens(sets).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    own = own.groupBy("cluster", "node").agg(F.count(F.lit(1)).alias("own"))
+    size = (F.octet_length("found") / 8).cast("long")
+    rows = sets.join(own, ["cluster", "node"], "left").select("cluster", "node", "found", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
+    rows = materialize(rows.filter(F.col("shared") >= similarity * F.col("size") - 1e-6), "open")
+    counts = materialize(rows.groupBy("cluster").agg(_blocks(F.count(F.lit(1)), block).alias("blocks")), "open_sizes")
+    rows = rows.join(counts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # 2: centres, and the members of the own block
+    alone = F.floor((F.col("size") - F.col("shared")) * 20 / F.col("size"))
+    best = F.row_number().over(W.partitionBy("cluster").orderBy(alone, F.xxhash64("node", F.lit(SEED)), "node"))
+    centres = rows.withColumn("rank", best).filter(F.col("rank") <= CENTRES)
+    centres = centres.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), "node", "found")
+    first = materialize(_verified(rows.select("cluster", "part", "node", "found").unionByName(centres), ["cluster", "part"], similarity), "to_centres")
+    # 3: those that aren't in the largest component, by what sizes they can be similar to
+    joined = components(first).select("node", "component")
+    rooted = materialize(rows.select("cluster", "node", "size", "shared").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "joined")
+    most = rooted.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
+    rest = rooted.join(most, "cluster").filter("component <> most")
+    rest = rest.select("cluster", "node", F.floor(F.log("size") / math.log(1.1)).alias("class"), (similarity * F.col("size") - 1e-6).alias("low"), ((1 + similarity) / similarity * F.col("shared") - F.col("size") + 1e-6).alias("high"))
+    sizes = rest.groupBy("cluster", "class").agg(_blocks(F.count(F.lit(1)), block).alias("parts"))
+    rest = materialize(rest.join(sizes, ["cluster", "class"]).withColumn("group", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts"), "rest")
+    bounds = rest.groupBy("cluster", "class", "group").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    near = rows.join(bounds, "cluster").filter((F.col("size") >= F.col("low")) & (F.col("size") <= F.col("high")))
+    near = near.select("cluster", "class", "group", "part", "node", "found")
+    wanted = rest.join(counts, "cluster").select("cluster", "class", "group", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    wanted = wanted.join(rows.select("cluster", "node", "found"), ["cluster", "node"]).select("cluster", "class", "group", "part", "node", "found")
+    last = _verified(near.unionByName(wanted), ["cluster", "class", "group", "part"], similarity)
+    return first.unionByName(materialize(last, "to_rest"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, doc_id: str | Column = "doc_id", text: str | Column = "text", block: int = BLOCK) -> DataFrame:
@@ -158,30 +249,50 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     Documents are linked if the Jaccard similarity of their sets is at least
     ``similarity``; those without words are linked to each other. Repeated rows stay. A
-    null doc_id is never the least; a component of null ones has a null id.
+    null doc_id is never the least; a component of null ones has a null id. An empty
+    table gives no rows. Other columns play no part.
     """
     src = _marked(docs, doc_id, text)
     prints = materialize(_nodes(src, words), "shingled")
-    classes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("print").alias("print"), F.first("bands").alias("bands")), "classes")
     entries = classes.select("node", F.explode("bands").alias("band"))
     centres = entries.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "centre")
     found = entries.join(centres, "band").filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+    found = found.unionByName(_by_prints(classes.select("node", "print")))
     inner = components(found).select("node", F.col("component").alias("cluster"))
     members = materialize(inner.unionByName(inner.select(F.col("cluster").alias("node"), "cluster").distinct()), "clusters")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    wanted = materialize(members.join(sizes, "cluster").join(classes.select("node", "mark"), "node").select("node", "cluster", "blocks", "mark"), "wanted")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    wanted = materialize(members.join(sizes, "cluster").join(classes.select("node", "mark"), "node").select("node", "cluster", "n", "mark"), "wanted")
     # one text of each mark, before texts move
     texts = src.select("mark", "text").join(wanted.select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
     sets = materialize(_sets(wanted.join(texts, "mark"), words), "sets")
-    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    copies = sets.select("node", "cluster", "found", own.alias("own"), other.alias("other"))
-    copies = copies.select("node", "cluster", "found", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    joined = components(_verified(copies, similarity))
+    # small clusters travel together, about four blocks of nodes in a task
+    packs = max(1, sets.filter(F.col("n") <= block).count() // (4 * block))
+    small = sets.filter(F.col("n") <= block).withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs)))
+    links = _verified(small, ["pack"], similarity)
+    if sets.filter(F.col("n") > block).limit(1).count():
+        links = links.unionByName(_large(sets.filter(F.col("n") > block), similarity, block))
+    joined = components(links)
     rooted = materialize(classes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "rooted")
     ids = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "node").join(rooted.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 
 
+def _by_prints(classes: DataFrame) -> DataFrame:
+    """(u, v): nodes that fingerprints within ``DISTANCE`` bits connect, by multi-index hashing."""
+    prints = materialize(classes.groupBy("print").agg(F.min("node").alias("least")).withColumnRenamed("print", "fingerprint"), "prints")
+    near = simhash.links(prints, DISTANCE)
+    node = lambda side: prints.select(F.col("fingerprint").alias(side), F.col("least").alias(f"node_{side}"))
+    between = near.join(node("u"), "u").join(node("v"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    same = classes.join(prints, classes["print"] == prints["fingerprint"]).filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return between.unionByName(same)
+
+
 def drop_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document of least doc_id of each component; columns stay as they are."""
-    return keep_least(docs, near_duplicates(docs, similarity, words, doc_id, text), doc_id, text)
+    """The document of least doc_id of each component; columns stay as they are.
+
+    Of rows that repeat a kept document's id and text one stays. Documents without an
+    id stay only where their component has no id at all; those without words are one
+    component. An empty table stays empty.
+    """
+    return simhash.keep_least(docs, near_duplicates(docs, similarity, words, doc_id, text), doc_id, text)

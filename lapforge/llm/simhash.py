@@ -66,6 +66,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes as they are: a bit is set if over half of them set it."""
+    if not len(hashes):
+        return 0
+    counts = np.zeros(64, dtype=np.int64)
+    for low in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[low : low + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, doc_id: str | Column = "doc_id", text: str | Column = "text", words: int = 4) -> DataFrame:
     """(doc_id, fingerprint as signed long) of every document."""
     src = docs.select(as_column(doc_id).alias("doc_id"), as_column(text).alias("text"))
@@ -166,10 +176,10 @@ def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # the ids to leave out are fewer than those to keep, and decide alone which texts move
     gone = materialize(found.filter(~kept).select(F.col("doc_id").alias(hidden("id"))).distinct(), "duplicates")
-    rest = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(hidden("id"))), "left_anti")
+    rest = docs.join(gone, as_column(doc_id).eqNullSafe(F.col(hidden("id"))), "left_anti")
     if found.filter(kept).groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        key = hidden("text")
-        rest = rest.withColumn(key, F.md5(text_or_empty(text))).dropDuplicates([doc_id, key]).drop(key)
+        key, ident = hidden("text"), hidden("ident")
+        rest = rest.withColumns({key: F.md5(text_or_empty(text)), ident: as_column(doc_id)}).dropDuplicates([ident, key]).drop(key, ident)
     return rest
 
 
