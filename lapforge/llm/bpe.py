@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import as_column
+from .text import as_column, hidden, numbered_columns, others, small_batches
 
 #: Words and pairs that a worker remembers; beyond it the older half is dropped.
 CACHE = 200_000
@@ -164,6 +164,8 @@ class Encoder:
                     token = longest[at]
             else:
                 dead[at] = 1
+                if not taken:
+                    raise ValueError(f"the vocabulary has no tokens for {word!r}")
                 token = taken.pop()
                 at -= length[token]
                 token = self.shorter(token)
@@ -244,19 +246,22 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
 
 
-def _mapped(df: DataFrame, vocabulary: str, source: str, outputs: dict[str, T.DataType]) -> DataFrame:
+def _mapped(df: DataFrame, vocabulary: str, at: int, outputs: dict[str, T.DataType]) -> DataFrame:
+    """``df`` without its ``at``-th column, a text or ids, and with what is made of it."""
     with open(vocabulary, "rb") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under 2 MB
-    kept = [f for f in df.schema.fields if f.name != source]
-    schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in outputs.items())])
+    small_batches(df)
+    plain = numbered_columns(df)
+    kept = [c for i, c in enumerate(df.columns) if i != at]
+    schema = T.StructType([*(f for i, f in enumerate(plain.schema.fields) if i != at), *(T.StructField(k, v) for k, v in outputs.items())])
 
     def run(batches):
         coder = _encoder(spec.value)
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
-                values = batch.column(batch.schema.get_field_index(source))
-                columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != source]
+                values = batch.column(at)
+                columns = [c for i, c in enumerate(batch.columns) if i != at]
                 if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
                     ids = [np.asarray(x if x is not None else [], dtype=np.int32) for x in values.to_pylist()]
                 else:
@@ -264,33 +269,36 @@ def _mapped(df: DataFrame, vocabulary: str, source: str, outputs: dict[str, T.Da
                 made = {"ids": lambda: _lists(ids), "decoded": lambda: _strings([coder.decode(x) for x in ids])}
                 yield pa.RecordBatch.from_arrays([*columns, *(made[k]() for k in outputs)], names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, *outputs)
 
 
 _IDS, _TEXT = T.ArrayType(T.IntegerType()), T.StringType()
 
 
-def _with(df: DataFrame, text: str | Column, keep: list[str]) -> DataFrame:
-    return df.select(*(as_column(c) for c in keep if c not in ("ids", "decoded")), as_column(text).alias("__lapforge_text"))
+def _with(df: DataFrame, text: str | Column, keep: list[str] | None) -> DataFrame:
+    names = others(df.columns if keep is None else keep, ["ids", "decoded"])
+    return df.select(as_column(text).alias(hidden("text")), *(as_column(c) for c in names))
 
 
 def encode(df: DataFrame, vocabulary: str, text: str | Column = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all by default) and ``ids``, the tokens of each whole text.
 
     Null and empty texts have no tokens. Order, ties and repeated rows play no part:
-    each row is encoded by itself. Kept columns named ids or decoded are replaced.
+    each row is encoded by itself. Kept columns named ids or decoded, in any case, are
+    replaced. An empty table stays empty.
     """
-    return _mapped(_with(df, text, df.columns if keep is None else keep), vocabulary, "__lapforge_text", {"ids": _IDS})
+    return _mapped(_with(df, text, keep), vocabulary, 0, {"ids": _IDS})
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """``df`` with its ids column replaced by ``decoded``; null ids give an empty text."""
-    return _mapped(df.drop("decoded") if ids != "decoded" else df, vocabulary, ids, {"decoded": _TEXT})
+    names = [c for c in others(df.columns, ["decoded"]) if c != ids]
+    return _mapped(df.select(as_column(ids), *map(as_column, names)), vocabulary, 0, {"decoded": _TEXT})
 
 
 def round_trip(df: DataFrame, vocabulary: str, text: str | Column = "text", keep: list[str] | None = None) -> DataFrame:
     """``encode`` and ``decode`` in one pass: the ``keep`` columns, ``ids``, ``decoded``."""
-    return _mapped(_with(df, text, df.columns if keep is None else keep), vocabulary, "__lapforge_text", {"ids": _IDS, "decoded": _TEXT})
+    return _mapped(_with(df, text, keep), vocabulary, 0, {"ids": _IDS, "decoded": _TEXT})
 
 
 def digests(coded: DataFrame, keep: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import materialize
-from .text import as_column, hidden, numbered_columns, others
+from .text import as_column, hidden, numbered_columns, others, small_batches
 
 #: Labelled texts of a language that the model is fitted on, about.
 TRAIN_DOCS = 1500
@@ -275,6 +275,7 @@ def identify(docs: DataFrame, model: Model, text: str | Column = "text", keep: l
     own = [] if isinstance(text, str) and text in kept else [as_column(text).alias(hidden("text"))]
     src = docs.select(*(as_column(c) for c in kept), *own)
     at = len(kept) if own else kept.index(text)
+    small_batches(src)
     plain = numbered_columns(src)
     schema = T.StructType([*plain.schema.fields[: len(kept)], *made])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^GRAM_BITS scores for each language

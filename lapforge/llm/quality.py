@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .text import SPACE, as_column, hidden, let, text_or_empty
+from .text import SPACE, as_column, hidden, let, others, quoted, text_or_empty
 
 #: Documents that a group's own sketch needs.
 FEW = 50
@@ -56,7 +56,7 @@ def measure(docs: DataFrame, text: str | Column = "text", keep: list[str] | None
     replaced.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouted", "n_marks")
-    kept = [as_column(c) for c in (docs.columns if keep is None else keep) if c not in made]
+    kept = [as_column(c) for c in others(docs.columns if keep is None else keep, made)]
     body = text_or_empty(text)
     words = F.filter(F.split(body, SPACE), lambda x: x != "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -81,7 +81,7 @@ def measure(docs: DataFrame, text: str | Column = "text", keep: list[str] | None
         "n_marks": F.col("n_marks"),
     }
     columns = [c for c in work.columns if c not in (*made, hidden("w"), hidden("l"))]
-    return work.select(*(F.col(f"`{c}`") for c in columns), *(counts[k].cast("long").alias(k) for k in made))
+    return work.select(*map(quoted, columns), *(counts[k].cast("long").alias(k) for k in made))
 
 
 def rates() -> dict[str, Column]:

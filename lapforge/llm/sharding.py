@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import materialize
-from .text import as_column, hidden
+from .text import as_column, hidden, numbered_columns, others, quoted
 
 ROUNDS = 6
 _U = np.uint64
@@ -83,11 +83,12 @@ def number_rows(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, i
     part) give the offsets. Rows equal in all keys are numbered in any order.
     """
     part, at, start, count = (hidden(x) for x in ("part", "at", "start", "count"))
+    by = [quoted(k) for k in keys]
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = hidden("tie")
-    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n_parts, *keys, tie)
-    parts = dealt.sortWithinPartitions(*keys, tie).drop(tie)
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n_parts, *by, tie)
+    parts = dealt.sortWithinPartitions(*by, tie).drop(tie)
     low = F.lit((1 << 33) - 1)
     parts = materialize(parts.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(low).alias(at)), "numbered")
     total, starts = 0, []
@@ -97,7 +98,7 @@ def number_rows(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, i
         total += row[count]
     offsets = spark.createDataFrame(starts, f"{part} int, {start} long")
     numbered = parts.join(F.broadcast(offsets), part)  # n_parts rows at most
-    return numbered.select(*df.columns, (F.col(start) + F.col(at)).alias(name)), total
+    return numbered.select(*map(quoted, df.columns), (F.col(start) + F.col(at)).alias(name)), total
 
 
 def shard(df: DataFrame, keys: list[str], n_shards: int = 16, seed: int = 0) -> DataFrame:
@@ -105,20 +106,21 @@ def shard(df: DataFrame, keys: list[str], n_shards: int = 16, seed: int = 0) ->
 
     Reproducible for the same rows, keys, seed and ``n_shards``, however they are
     partitioned. Nulls in keys come first. Repeated rows each get a place of their
-    own. An empty table stays empty. Columns of these three names are replaced. Pass
+    own. An empty table stays empty. Columns of these three names, in any case, are replaced. Pass
     only columns that are needed: what ``df`` holds goes through the shuffle.
     """
-    df = df.drop("row_no", "shard", "slot")
+    df = df.select(*map(quoted, others(df.columns, ["row_no", "shard", "slot"])))
     numbered, total = number_rows(df, keys, "row_no")
-    schema = T.StructType([*numbered.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    plain = numbered_columns(numbered)
+    schema = T.StructType([*plain.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def run(batches):
         rule = Permutation(total, seed)
         for batch in batches:
-            p = rule.place(batch.column(batch.schema.get_field_index("row_no")).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((p % n_shards).astype(np.int32)), pa.array(p // n_shards)], names=[*batch.schema.names, "shard", "slot"])
+            p = rule.place(batch.column(batch.num_columns - 1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((p % n_shards).astype(np.int32)), pa.array(p // n_shards)], names=[f.name for f in schema])
 
-    return numbered.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*numbered.columns, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 0, doc_id: str = "doc_id", text: str | Column = "text") -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from . import simhash
 from .components import components
 from .scratch import materialize
-from .text import as_column, text_or_empty
+from .text import as_column, small_batches, text_or_empty
 
 SEED = 42
 WORDS, SIMILARITY = 5, 0.8
@@ -99,6 +99,7 @@ def _nodes(src: DataFrame, words: int) -> DataFrame:
     """(doc_id, mark, node, print, bands) of every document."""
     import xxhash
 
+    small_batches(src)
     schema = T.StructType([src.schema["doc_id"], T.StructField("mark", T.StringType()), T.StructField("node", T.LongType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -245,7 +246,7 @@ def _large(sets: DataFrame, similarity: float, block: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, doc_id: str | Column = "doc_id", text: str | Column = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, node (of its set of shingles) and component_id (least doc_id reachable).
+    """doc_id, mark (MD5 of the text), node (of its set of shingles) and component_id (least doc_id reachable).
 
     Documents are linked if the Jaccard similarity of their sets is at least
     ``similarity``; those without words are linked to each other. Repeated rows stay. A
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     joined = components(links)
     rooted = materialize(classes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "rooted")
     ids = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(rooted.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+    return prints.select("doc_id", "mark", "node").join(rooted.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "mark", "node", "component_id")
 
 
 def _by_prints(classes: DataFrame) -> DataFrame:

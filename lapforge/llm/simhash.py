@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .scratch import materialize
-from .text import as_column, hidden, text_or_empty
+from .text import as_column, hidden, small_batches, text_or_empty
 
 SEED = 42
 #: Shingles hashed at once, whatever a text's length.
@@ -77,14 +77,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str | Column = "doc_id", text: str | Column = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fingerprint as signed long) of every document."""
-    src = docs.select(as_column(doc_id).alias("doc_id"), as_column(text).alias("text"))
-    schema = T.StructType([src.schema[0], T.StructField("fingerprint", T.LongType(), False)])
+    """(doc_id, mark, fingerprint as signed long) of every document; mark is the text's MD5."""
+    src = docs.select(as_column(doc_id).alias("doc_id"), F.md5(text_or_empty(text)).alias("mark"), as_column(text).alias("text"))
+    small_batches(src)
+    schema = T.StructType([src.schema["doc_id"], src.schema["mark"], T.StructField("fingerprint", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            made = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fingerprint"])
+            made = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(made.view(np.int64))], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -146,7 +147,7 @@ def _by_centres(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, doc_id: str | Column = "doc_id", text: str | Column = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint and component_id (least doc_id reachable) of every document.
+    """doc_id, mark (MD5 of the text), fingerprint and component_id (least doc_id reachable).
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows
     stay. A null doc_id is never the least; a component of null ones has a null id.
@@ -158,7 +159,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, doc_id:
     rooted = materialize(classes.join(joined, "fingerprint", "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "rooted")
     ids = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "component").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(named, "fingerprint").select("doc_id", "mark", "fingerprint", "component_id")
 
 
 def drop_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,15 +172,19 @@ def drop_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, doc_id:
 
 
 def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those whose doc_id isn't the component_id that ``found`` names."""
-    found = materialize(found, "near_duplicates")
+    """``docs`` without those whose doc_id isn't the component_id that ``found`` names.
+
+    found: doc_id, mark, component_id. A document is known by its id and its text, as
+    ids may be null or repeat.
+    """
+    found = materialize(found.select("doc_id", "mark", "component_id"), "near_duplicates")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    # the ids to leave out are fewer than those to keep, and decide alone which texts move
-    gone = materialize(found.filter(~kept).select(F.col("doc_id").alias(hidden("id"))).distinct(), "duplicates")
-    rest = docs.join(gone, as_column(doc_id).eqNullSafe(F.col(hidden("id"))), "left_anti")
-    if found.filter(kept).groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        key, ident = hidden("text"), hidden("ident")
-        rest = rest.withColumns({key: F.md5(text_or_empty(text)), ident: as_column(doc_id)}).dropDuplicates([ident, key]).drop(key, ident)
+    ident, mark = hidden("id"), hidden("mark")
+    # the documents to leave out are fewer than those to keep, and decide alone which texts move
+    gone = materialize(found.filter(~kept).select(F.col("doc_id").alias(ident), F.col("mark").alias(mark)).distinct(), "duplicates")
+    rest = docs.join(gone, as_column(doc_id).eqNullSafe(F.col(ident)) & (F.md5(text_or_empty(text)) == F.col(mark)), "left_anti")
+    if found.filter(kept).groupBy("doc_id", "mark").count().filter("count > 1").limit(1).count():
+        rest = rest.withColumns({mark: F.md5(text_or_empty(text)), ident: as_column(doc_id)}).dropDuplicates([ident, mark]).drop(mark, ident)
     return rest
 
 

@@ -47,3 +47,18 @@ def let(value: Column, body) -> Column:
 def hidden(name: str) -> str:
     """Name of a working column, unlikely to clash with the input's columns."""
     return f"__lapforge_{name}"
+
+
+#: Rows of whole texts that Spark sends to a Python worker at once.
+BATCH = 1024
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batches to ``BATCH`` rows where they have Spark's default.
+
+    Batches are counted in rows, and 10,000 texts are held by the executor and by its
+    worker at once; results don't depend on it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH))

@@ -77,13 +77,13 @@ def tokens(host: Column, path: Column, url: Column, leave: set[str] = frozenset(
 
 
 def _rules_in(rows: DataFrame, floor: int, min_confidence: float) -> DataFrame:
-    """(rule, tokens, confidence, count) by one mining pass over rows of items."""
+    """(rule, tokens, confidence, count) of sets of two tokens or more, by one mining pass over rows of items."""
     from pyspark.ml.fpm import FPGrowth
 
     n = rows.count()
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, floor / n), minConfidence=1.0).fit(rows).freqItemsets
     # the frequency of a set with the verdict's item over that of the set alone
-    sets = materialize(found.select(F.array_contains("items", _BLOCKED).alias("with"), F.array_sort(F.array_remove("items", _BLOCKED)).alias("tokens"), "freq").filter((F.size("tokens") > 0) & (F.col("freq") >= floor)), "itemsets")
+    sets = materialize(found.select(F.array_contains("items", _BLOCKED).alias("with"), F.array_sort(F.array_remove("items", _BLOCKED)).alias("tokens"), "freq").filter((F.size("tokens") > 1) & (F.col("freq") >= floor)), "itemsets")
     both = sets.filter("with").select("tokens", F.col("freq").alias("count")).join(sets.filter("not with").select("tokens", F.col("freq").alias("total")), "tokens")
     sure = both.withColumn("confidence", F.col("count") / F.col("total")).filter(F.col("confidence") >= min_confidence)
     return materialize(sure.select(F.array_join("tokens", " ").alias("rule"), "tokens", "confidence", "count"), "sure")

@@ -25,6 +25,13 @@ def odd(spark):
     return spark.createDataFrame([(*r, len(r[1] or ""), "s", 1, "i", "x", 0, "h") for r in ROWS], SCHEMA)
 
 
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The same with names that hold dots, differ in case from those that operators make, or stand for nothing."""
+    names = ["a.b", "LANG_PRED", "Base", "IDS", "n`t", "PII", "Row_No", "mix_TIMES"]
+    return odd.select("doc_id", "text", "lang", "source", "n_chars", *(odd["size"].alias(n) for n in names))
+
+
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.limit(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -215,6 +216,123 @@ def test_mask_keeps_the_rest(spark, odd):
     assert sorted(map(repr, pii.mask(odd).collect())) == sorted(map(repr, odd.collect()))
 
 
+def plain_candidates(text):
+    """(start, value, context, shape, seed) of a text, by regular expressions and loops."""
+    spans = []
+    for start, end, kind in sorted((int(a), int(b), list(BASE).index(k)) for k, a, b in (s.split(":") for s in base_spans(text).split(",") if s)):
+        if spans and start < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end, list(BASE)[kind]])
+    word = r"[^\x20\x09-\x0D]"
+    runs, pieces, at = rf"(?<!{word}){word}*[0-9@]{word}*(?:\x20{word}*[0-9@]{word}*)*", [], 0
+    for start, end, kind in [*spans, [len(text), len(text), None]]:
+        last = at
+        for m in re.finditer(runs, text[at:start]):
+            pieces.append((at + m.start(), m.group(), text[last : at + m.start()], None))
+            last = at + m.end()
+        if kind:
+            pieces.append((start, text[start:end], text[last:start], kind))
+        at = end
+    out, said = [], "^ "
+    for start, raw, gap, kind in pieces:
+        said += gap
+        value, lead = raw, 0
+        if not kind:
+            lead = len(re.match(r"[^A-Za-z0-9@+(]*", raw).group())
+            value = re.sub(r"[^A-Za-z0-9)]+$", "", raw[lead:])
+            n, letters = sum(c in "0123456789" for c in raw), len(re.findall("[A-Za-z]", raw))
+            if re.match(r"""["'`][A-Za-z0-9+/_=.-]{20,}["'`]""", raw) and n >= 5 and letters >= 5 and re.search(r"[=:]\s*$", gap):
+                kind = "secret"
+        n = sum(c in "0123456789" for c in value)
+        if kind or "@" in value or n >= 5:
+            shape = "@" if "@" in value else ("5-8" if n < 9 else "9-11" if n < 12 else "12-19" if n < 20 else "20-") + ("a" if re.search("[A-Za-z]", value) else "")
+            words = said.lower().split()
+            out.append((start + lead, value, " ".join(words[-2:]) if len(words) > 1 else None, shape, kind))
+            said += f" <{shape}> "
+        else:
+            said += raw
+    return out
+
+
+def plain_trusted(texts):
+    """The scores of the graph over distinct texts, with loops: {(context, shape): kind}."""
+    edges = {}
+    for t in set(texts):
+        for _, value, context, shape, seed in plain_candidates(t):
+            if context is not None:
+                key = (context, shape, value)
+                edges[key] = max(edges.get(key) or "", seed or "") or None
+    seeds = {}
+    for (_, _, value), kind in edges.items():
+        if kind:
+            seeds[value] = max(seeds.get(value, ""), kind)
+    known = {(v, k): 1.0 for v, k in seeds.items()}
+    for _ in range(pii.ROUNDS):
+        sums, n = collections.defaultdict(lambda: [0.0, 0]), collections.Counter()
+        for context, shape, value in edges:
+            n[context, shape] += 1
+            for kind in (*pii.KINDS, pii.SECRET):
+                if (value, kind) in known:
+                    sums[context, shape, kind][0] += known[value, kind]
+                    sums[context, shape, kind][1] += known[value, kind] == 1.0
+        scored = {k: (s / (n[k[:2]] + 1), m) for k, (s, m) in sums.items() if n[k[:2]] > 1}
+        known = {(v, k): 1.0 for v, k in seeds.items()}
+        for (context, shape, value), seed in edges.items():
+            for kind in (*pii.KINDS, pii.SECRET):
+                if not seed and value not in seeds and (context, shape, kind) in scored:
+                    known[value, kind] = max(known.get((value, kind), 0), scored[context, shape, kind][0])
+    best = {}
+    for (context, shape, kind), (score, m) in scored.items():
+        if score >= pii.TRUST and m >= pii.SUPPORT:
+            best[context, shape] = max(best.get((context, shape), (0, "")), (score, kind))
+    return {k: kind for k, (_, kind) in best.items()}
+
+
+def random_contacts(seed):
+    """Texts of all kinds of identifiers, seeds and unseen ones, after many wordings."""
+    rng = np.random.default_rng(seed)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    forms = {
+        "email": lambda: [f"u{digits(2)}@mail.org", f"u{digits(1)}@host", f"@u{digits(3)}"][rng.choice(3, p=[0.8, 0.1, 0.1])],
+        "ip": lambda: [".".join(map(str, rng.integers(10, 256, 4))), ".".join(map(str, rng.integers(256, 999, 4)))][rng.choice(2, p=[0.9, 0.1])],
+        "phone": lambda: [f"+1 (555) {digits(3)}-{digits(4)}", f"0555 {digits(3)} {digits(4)}"][rng.choice(2, p=[0.9, 0.1])],
+        "card": lambda: [next(c for c in (digits(16) for _ in range(500)) if luhn(c)), digits(16)][rng.choice(2, p=[0.9, 0.1])],
+        "secret": lambda: [f'"{rng.bytes(16).hex()}a1b2c3d4e5f"', rng.bytes(12).hex() + "a12345"][rng.choice(2, p=[0.9, 0.1])],
+    }
+    leads = {"email": ["write to", "mail me:"], "ip": ["from host", "came from"], "phone": ["call me at", "ring"], "card": ["pay by card", "number"], "secret": ["the token =", "key:"]}
+    words, out = "the a of order 7 page see ok".split(), []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.integers(0, 4)):
+            kind = rng.choice(list(forms))
+            parts += [*rng.choice(words, rng.integers(0, 4)), rng.choice(leads[kind]) if rng.random() < 0.8 else "", forms[kind](), *(["or", forms[kind]()] if rng.random() < 0.2 else [])]
+        out.append(" ".join(map(str, parts)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op5_graph_equals_plain_scores(spark, seed):
+    texts = random_contacts(seed)
+    trusted = plain_trusted(texts)
+    rows = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"]).collect()
+    added = collections.Counter()
+    for r in rows:
+        t = texts[r.doc_id]
+        want = [tuple(s.split(":")) for s in base_spans(t).split(",") if s]
+        more = [(trusted[c, shape], str(at), str(at + len(v))) for at, v, c, shape, kind in plain_candidates(t) if kind in (None, "secret") and (c, shape) in trusted]
+        added.update(k for k, _, _ in more)
+        rank = (*pii.KINDS, pii.SECRET).index
+        assert [(s.kind, str(s.start), str(s.end)) for s in r.pii] == sorted(want + more, key=lambda s: (int(s[1]), rank(s[0]), int(s[2]))), t
+    assert {"email", "phone", "secret"} <= set(added)
+
+
+def test_op5_finds_assigned_secrets(spark):
+    texts = [f'deploy with token = "{i:02x}bc0a5302762f37969011b69180d661037b374f6e" ok' for i in range(20)] + ["deploy with token = Zx81hQ7733aa901 ok", "commit bc0a5302762f37969011b69180d661037b374f6e done"]
+    found = found_in(spark, texts)
+    assert found[0] == [("secret", "00bc0a5302762f37969011b69180d661037b374f6e")] and found[21] == []
+
+
 # --- languages
 
 
@@ -234,6 +352,28 @@ def test_op9(spark, odd, none):
     assert blank.label("some text")[0] == "und" and langid.identify(odd, blank).count() == odd.count()
 
 
+def test_every_language_is_learned(spark):
+    """600 languages; scores equal a plain sum over trigrams of counted texts."""
+    rng = np.random.default_rng(3)
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(12)] for k in range(600)}
+    rows = [(3 * i + n, " ".join(rng.choice(words[k], 20)), k) for i, k in enumerate(sorted(words)) for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.repartition(6))
+    assert model.languages == sorted(words)
+    assert all(r.lang_pred == r.lang for r in langid.identify(docs, model).collect())
+    grams = {k: collections.Counter() for k in words}
+    plain = lambda w: [("\0\0" + w + "\0")[i : i + 3] for i in range(len(w) + 1)]
+    for _, text, k in rows:
+        for w in text.split():
+            grams[k].update(plain(w))
+    total = {k: sum(c.values()) for k, c in grams.items()}
+    some = rows[17]
+    want = [sum(np.log((grams[k][g] + langid.SMOOTHING) / (total[k] + langid.SMOOTHING * 2**langid.GRAM_BITS)) for g in plain(some[1].split()[0])) for k in model.languages]
+    got = model.scores(some[1])[0][0]
+    # up to trigrams that share a bucket
+    assert np.corrcoef(got, want)[0, 1] > 0.99 and got.argmax() == np.argmax(want)
+
+
 def test_viterbi_shortcut_and_spans():
     rng = np.random.default_rng(1)
     model = langid.Model(["a", "b", "c"], np.zeros((1, 3)), np.ones((1, 3), bool), np.ones(3) / 3)
@@ -309,6 +449,23 @@ def test_flow_shares_overlaps_before_repeating():
     assert mixing.route({("a",): 100}, {"a": 500.0}) == {(("a",), "a"): 200.0}
 
 
+def test_flow_equals_smallest_cuts():
+    """On random overlaps: the flow of every pass is the least cut, by trying all sets of sources."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        sources = list("abcde")[: rng.integers(1, 6)]
+        patterns = {tuple(sorted(rng.choice(sources, rng.integers(1, len(sources) + 1), replace=False).tolist())): int(rng.integers(0, 50)) for _ in range(rng.integers(1, 9))}
+        quota = {s: float(rng.integers(0, 90)) for s in sources}
+        for epochs in (1, 2, 3):
+            flow = mixing.route(patterns, quota, epochs)
+            cut = min(sum(quota[s] for s in some) + sum(epochs * n for p, n in patterns.items() if set(p) - set(some)) for k in range(len(sources) + 1) for some in itertools.combinations(sources, k))
+            assert sum(flow.values()) == pytest.approx(cut)
+            for s in sources:
+                assert sum(x for (_, t), x in flow.items() if t == s) <= quota[s] + 1e-6
+            # no later pass over one pattern while first passes would do: passes fill in turn
+            assert sum(min(sum(x for (q, _), x in flow.items() if q == p), n) for p, n in patterns.items()) >= sum(mixing.route(patterns, quota, 1).values()) - 1e-6
+
+
 def test_op8(spark, odd, none):
     rows = catalogue.op8_mixing(spark, SF).collect()
     text = {r.doc_id: (r.text, r.source) for r in documents(spark).collect()}
