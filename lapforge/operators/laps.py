@@ -18,6 +18,14 @@ def _number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("float") if kinds.get(name) in ("float", "double") else F.lit(0.0).cast("float")
 
 
+def _lap(df: DataFrame) -> Column:
+    """The lap channel as a 32-bit integer; wider integers keep their lowest 32 bits."""
+    if dict(df.dtypes)[LAP] != "bigint":
+        return F.col(LAP).cast("int")
+    half = F.lit(1 << 31)
+    return (F.pmod(F.pmod(F.col(LAP), F.lit(1 << 32)) + half, F.lit(1 << 32)) - half).cast("int")
+
+
 def islands(samples: DataFrame, keys: list[str], order: str = "record_idx") -> DataFrame:
     """keys, lap_idx and the aggregates of each run of samples with one lap number.
 
@@ -25,7 +33,7 @@ def islands(samples: DataFrame, keys: list[str], order: str = "record_idx") -> D
     that laps depend on, in one exchange by ``keys`` that the grouping shares.
     """
     pit = F.col(PIT).cast("boolean") if PIT in samples.columns else F.lit(False)
-    narrow = samples.select(*keys, order, F.col(TIME), F.col(LAP).cast("int").alias("num"), F.coalesce(pit, F.lit(False)).alias("pit"), _number(samples, DIST).alias("dist"))
+    narrow = samples.select(*keys, order, F.col(TIME), _lap(samples).alias("num"), F.coalesce(pit, F.lit(False)).alias("pit"), _number(samples, DIST).alias("dist"))
     by = W.partitionBy(*keys).orderBy(order)
     changed = (F.col("num") != F.lag("num").over(by)).cast("int")
     runs = narrow.withColumn("changed", F.coalesce(changed, F.lit(0)))

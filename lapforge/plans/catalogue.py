@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metadata import catalogue
+from ..functions.metadata import ChannelMetadata, catalogue, with_metadata
+from ..log import open_log
 from ..operators import align, filters
 from ..operators.laps import laps as find_laps
 from ..operators.resample import resample, to_channel
 from ..sources import datasource, encode
 from ..sources.layout import InMemory, parse
 from ..sources.session import metadata_frame
+from ..sources.shared import shared_folder
 from .adapters import KEYS, hourly, long_channels, telemetry
 
 QUERIES: dict = {}
@@ -164,10 +167,25 @@ def session_distinct(spark, sf_dir):
 
 YAML = """---
 WeekendInfo:
+ TrackName: old name
  TrackName: test ring
+ TrackDisplayName: Test Ring North
+ TrackCity: Town
+ TrackCountry: Land
  TrackLength: 4.20 km
- EventType: Race
  TrackID: 7
+ TrackType: road course
+ SeriesID: 11
+ SeasonID: 12
+ SessionID: 13
+ SubSessionID: 14
+ EventType: Race
+ TrackAirTemp: 21.00 C
+ TrackSurfaceTemp: 30.00 C
+ TrackRelativeHumidity: 55 %
+ TrackSkies: Clear
+ TrackWindVel: 1.00 m/s
+ TrackWindDir: 0.50 rad
 SessionInfo:
  CurrentSessionNum: 1
  Sessions:
@@ -178,80 +196,160 @@ SessionInfo:
    SessionName: FINAL
 DriverInfo:
  DriverCarIdx: 2
+ DriverCarGearNumForward: 6
+ DriverCarRedLine: 7500
+ DriverCarSLShiftRPM: 7000
+ DriverCarIdleRPM: 900
  Drivers:
  - CarIdx: 0
    UserName: Pace
    CarIsPaceCar: 1
  - CarIdx: 2
    UserName: A Driver
+   UserID: 99
+   IRating: 1500
+   LicString: A 3.50
    CarScreenName: Car
+   CarID: 42
 ...
 """
 
 
-def encoded_events(spark: SparkSession, sf_dir: str) -> str:
-    """The events as one binary log in the shared folder; its path. Test data only."""
-    rows = _events(spark, sf_dir).select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("s"), "user_id", ((F.day("ts") - 1) % 7).alias("lap"), (F.col("event_type") == "error").alias("pit"), F.get_json_object("props", "$.k").cast("int").alias("k"), "value").orderBy("event_id").toPandas()
-    data = encode.encode(
-        [
-            ("SessionTime", "double", "s", "time", rows["s"].to_numpy()),
-            ("Lap", "int", "", "lap", rows["lap"].to_numpy()),
-            ("OnPitRoad", "bool", "", "pit", rows["pit"].to_numpy()),
-            ("LapDistPct", "float", "%", "share", rows["k"].to_numpy() / 100),
-            ("Value", "double", "", "value", rows["value"].to_numpy()),
-            ("User", "bitfield", "", "user", rows["user_id"].to_numpy()),
-            ("Tag", "char", "", "tag", rows["k"].to_numpy() + 100),
-            ("Many", "float", "", "array", rows[["value", "value", "value"]].to_numpy()),
-        ],
-        YAML.encode() + b"\0\0",
-    )
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    folder = shared if shared and "://" not in shared else tempfile.gettempdir()
-    os.makedirs(folder, exist_ok=True)
-    path = f"{folder}/lapforge-{uuid.uuid4().hex}.log"
-    with open(path, "wb") as f:
-        f.write(data)
-    return path
+#: Events in one of the binary logs that queries write.
+LOG_EVENTS = 4096
+#: Fixed value: the channels of these logs that queries return.
+BINARY = ("record_idx", "timecodes", "Lap", "OnPitRoad", "LapDistPct", "Value", "User", "Tag")
+
+
+def encoded_events(spark: SparkSession, sf_dir: str, lap: str = "int") -> str:
+    """The events as binary logs in a new folder of the shared one; its path. Test data only.
+
+    A log holds the events of a range of ids and is written by the task that has them,
+    under another name first, so that a task that runs again leaves whole files.
+    """
+    folder = f"{shared_folder(spark)}/lapforge-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    step = LOG_EVENTS
+    rows = _events(spark, sf_dir).select(F.floor(F.col("event_id") / step).alias("log"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("s"), "user_id", ((F.day("ts") - 1) % 7).alias("lap"), (F.col("event_type") == "error").alias("pit"), F.get_json_object("props", "$.k").cast("int").alias("k"), "value")
+
+    def write(table: pa.Table) -> pa.Table:
+        at = {c: table.sort_by("event_id")[c].to_numpy() for c in table.column_names}
+        data = encode.encode(
+            [
+                ("SessionTime", "double", "s", "time", at["s"]),
+                ("Lap", lap, "", "lap", at["lap"] if lap == "int" else at["lap"].astype("int64") + 0xFFFFFFFD),
+                ("OnPitRoad", "bool", "", "pit", at["pit"]),
+                ("LapDistPct", "float", "%", "share", at["k"] / 100),
+                ("Value", "double", "", "value", at["value"]),
+                ("User", "bitfield", "", "user", at["user_id"]),
+                ("Tag", "char", "", "tag", at["k"] + 100),
+                ("Many", "float", "", "array", np.stack([at["value"]] * 3, axis=1)),
+            ],
+            YAML.encode() + b"\0\0",
+        )
+        name = f"{folder}/{table['log'][0].as_py():09d}.log"
+        with open(f"{folder}/.{uuid.uuid4().hex}", "wb") as f:
+            f.write(data)
+        os.replace(f.name, name)
+        return pa.table({"records": [len(table)]})
+
+    rows.groupBy("log").applyInArrow(write, "records long").agg(F.sum("records")).collect()
+    return folder
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the number of each row's log, from its file's name."""
+    return df.withColumn("log", F.regexp_extract("file_id", r"([0-9]+)\.log$", 1).cast("long"))
 
 
 @register
 def binary_scan(spark, sf_dir):
-    """Events written as a binary log and read by the data source."""
-    return datasource.read(spark, encoded_events(spark, sf_dir)).select("record_idx", "timecodes", "Lap", "OnPitRoad", "LapDistPct", "Value", "User", "Tag")
+    """Events written as binary logs and read by the data source."""
+    return _numbered(datasource.read(spark, encoded_events(spark, sf_dir))).select("log", *BINARY)
 
 
 @register
 def binary_stored_scan(spark, sf_dir):
     """The same through Spark's own file reader."""
-    return datasource.read_stored(spark, encoded_events(spark, sf_dir)).select("record_idx", "timecodes", "Lap", "OnPitRoad", "LapDistPct", "Value", "User", "Tag")
+    return _numbered(datasource.read_stored(spark, encoded_events(spark, sf_dir)).withColumnRenamed("path", "file_id")).select("log", *BINARY)
 
 
 @register
 def binary_one_channel(spark, sf_dir):
-    """One channel, some records."""
-    return datasource.read(spark, encoded_events(spark, sf_dir), ["Value"]).filter("record_idx between 10 and 19").select("record_idx", "timecodes", "Value")
+    """One channel, all records."""
+    return _numbered(datasource.read(spark, encoded_events(spark, sf_dir), ["Value"])).select("log", "record_idx", "timecodes", "Value")
+
+
+@register
+def binary_records(spark, sf_dir):
+    """Some records of each log."""
+    return _numbered(datasource.read(spark, encoded_events(spark, sf_dir), ["Value"]).filter("record_idx between 10 and 19")).select("log", "record_idx", "timecodes", "Value")
+
+
+@register
+def binary_time_range(spark, sf_dir):
+    """F1 on the source: of logs in the order of time only the range's records are read."""
+    return _numbered(datasource.read(spark, encoded_events(spark, sf_dir), ["Value"], start=START, end=END, ordered=True)).select("log", "record_idx", "timecodes", "Value")
 
 
 @register
 def binary_arrays(spark, sf_dir):
     """Array variables, which are read only on demand."""
-    many = datasource.read(spark, encoded_events(spark, sf_dir), ["Many"], arrays=True)
-    return many.select("record_idx", F.size("Many").alias("n"), F.col("Many")[2].alias("last"))
+    many = _numbered(datasource.read(spark, encoded_events(spark, sf_dir), ["Many"], arrays=True))
+    return many.select("log", "record_idx", F.size("Many").alias("n"), F.col("Many")[2].alias("last"))
 
 
 @register
 def binary_laps(spark, sf_dir):
-    """S1, L1 to L7 over the binary log."""
-    return find_laps(datasource.read(spark, encoded_events(spark, sf_dir)), ["file_id"]).drop("file_id")
+    """S1, L1 to L7 over the binary logs."""
+    return _numbered(find_laps(datasource.read(spark, encoded_events(spark, sf_dir)), ["file_id"])).drop("file_id")
+
+
+@register
+def binary_raw_lap(spark, sf_dir):
+    """L1: a lap number of another declared type counts by its raw 32 bits."""
+    return _numbered(find_laps(datasource.read_signals(spark, encoded_events(spark, sf_dir, "bitfield")), ["file_id"])).select("log", "lap_idx", "num", "start_time", "end_time", "sample_count")
+
+
+@register
+def log_resample_bucketed(spark, sf_dir):
+    """R1, R3, F5 through the log's methods, over buckets of its timeline."""
+    log = open_log(spark, encoded_events(spark, sf_dir), ordered=True).select_channels(["Value", "Lap"])
+    grid = [START + i * 3_600_000 for i in range(200)]
+    return _numbered(log.resample_to_timecodes(grid, bucket_ms=86_400_000).samples).select("log", "record_idx", "timecodes", "Value", "Lap")
+
+
+@register
+def resample_metadata(spark, sf_dir):
+    """R1d, O7: channels keep units, description and kind through resampling, as rows."""
+    samples = _samples(spark, sf_dir)
+    return catalogue(resample(samples, hourly(samples, KEYS), KEYS), ("user_id", "timecodes"))
+
+
+@register
+def channels_left(spark, sf_dir):
+    """The channels that are there but weren't asked for, and those asked for that aren't there."""
+    there, asked = set(_samples(spark, sf_dir).columns), {"Value", "K", "Speed"}
+    rows = [(n, True) for n in sorted(there - asked - {"user_id", "record_idx", "timecodes"})] + [(n, False) for n in sorted(asked - there)]
+    return spark.createDataFrame(rows, "channel string, there boolean")
+
+
+@register
+def merge_two_tables(spark, sf_dir):
+    """Channel tables with time bases of their own as one wide table."""
+    events = _events(spark, sf_dir).filter("user_id = 1")
+    of = lambda kind, name: long_channels(events).filter(F.col("channel") == kind).select("timecodes", with_metadata(F.col("value"), name, ChannelMetadata("", "", kind == "click")), "record_idx")
+    return align.merge_tables({"clicks": of("click", "clicks"), "views": of("view", "views")}, order="record_idx")
 
 
 @register
 def session_metadata(spark, sf_dir):
-    """From the YAML text of a log."""
-    layout = parse(InMemory(encode.encode([("SessionTime", "double", "s", "", [])], YAML.encode())))
+    """All metadata of a log but its YAML's own tree, as text by key."""
+    layout = parse(InMemory(encode.encode([("SessionTime", "double", "s", "", [])], YAML.encode(), lap_count=3, start_date=1_700_000_000, start=1.5, end=90.25)))
     frame = metadata_frame(spark, {"log": layout})
-    get = lambda k, t: F.variant_get("metadata", f"$.{k}", t).alias(k)
-    return frame.select("file_id", get("track_name", "string"), get("track_length", "string"), get("event_type", "string"), get("session_type", "string"), get("session_name", "string"), get("driver_name", "string"), get("num_drivers", "int"), get("track_id", "int"))
+    pairs = F.explode(F.expr("cast(metadata as map<string, variant>)")).alias("key", "value")
+    rows = frame.select("file_id", pairs).filter("key not in ('session_info_yaml', 'session_info', 'car_setup', 'sectors')")
+    return rows.select("file_id", "key", F.expr("cast(value as string)").alias("value"))
 
 
 _E = """
@@ -276,6 +374,18 @@ grid AS (SELECT user_id, unnest(generate_series(CAST(ceil(a / 3600000.0) AS BIGI
   FROM (SELECT user_id, MIN(timecodes) AS a, MAX(timecodes) AS b FROM e GROUP BY user_id))"""
 
 
+#: What ``session_metadata`` finds, as text.
+METADATA = {
+    "track_name": "test ring", "track_display_name": "Test Ring North", "track_city": "Town", "track_country": "Land", "track_length": "4.20 km",
+    "series_id": "11", "season_id": "12", "session_id": "13", "sub_session_id": "14",
+    "tick_rate": "60", "record_count": "0", "lap_count": "3", "session_start_date": "1700000000", "start_time": "1.5", "end_time": "90.25",
+    "event_type": "Race", "track_id": "7", "track_type": "road course", "weather_temp": "21.00 C", "weather_surface_temp": "30.00 C", "weather_humidity": "55 %", "weather_skies": "Clear", "weather_wind_speed": "1.00 m/s", "weather_wind_dir": "0.50 rad",
+    "car_gear_count": "6", "car_redline_rpm": "7500", "car_shift_rpm": "7000", "car_idle_rpm": "900",
+    "session_type": "Race", "session_name": "FINAL",
+    "driver_name": "A Driver", "driver_user_id": "99", "driver_irating": "1500", "driver_license": "A 3.50", "car_name": "Car", "car_id": "42", "num_drivers": "1",
+}
+
+
 def _between(source: str, target: str, keys: str = "user_id", values: tuple[str, ...] = ("v",)) -> str:
     """CTEs u and s: for each target of ``target`` the knots of ``source`` around it."""
     first = ", ".join(f"first_value(CASE WHEN kind = 0 THEN {v} END IGNORE NULLS) OVER a AS {v}1" for v in values)
@@ -318,15 +428,27 @@ ORACLES |= {
     "merge_shared_fast": "WITH" + _E + f" SELECT user_id, timecodes, {_BOTH} FROM (SELECT *, row_number() OVER (PARTITION BY user_id, timecodes ORDER BY record_idx DESC) AS rn FROM e) WHERE rn = 1",
     "channel_catalog": "SELECT * FROM (VALUES ('K', '', 'property k', false, 'int'), ('Lap', '', 'day of the week of four', false, 'int'), ('LapDistPct', '%', 'share of a lap', true, 'float'), ('OnPitRoad', '', 'event is an error', false, 'boolean'), ('Value', '', 'value of the event', true, 'double')) AS t(channel, units, \"desc\", interpolate, type)",
     "session_distinct": _EL + " SELECT DISTINCT session FROM laps",
-    "session_metadata": "SELECT 'log' AS file_id, 'test ring' AS track_name, '4.20 km' AS track_length, 'Race' AS event_type, 'Race' AS session_type, 'FINAL' AS session_name, 'A Driver' AS driver_name, CAST(1 AS INT) AS num_drivers, CAST(7 AS INT) AS track_id",
+    "session_metadata": "SELECT 'log' AS file_id, * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in METADATA.items()) + ") AS t(key, value)",
+    "resample_metadata": "SELECT * FROM (VALUES ('K', '', 'property k', false, 'int'), ('Lap', '', 'day of the week of four', false, 'int'), ('LapDistPct', '%', 'share of a lap', true, 'float'), ('OnPitRoad', '', 'event is an error', false, 'boolean'), ('Value', '', 'value of the event', true, 'double')) AS t(channel, units, \"desc\", interpolate, type)",
+    "channels_left": "SELECT * FROM (VALUES ('Lap', true), ('LapDistPct', true), ('OnPitRoad', true), ('Speed', false)) AS t(channel, there)",
+    "merge_two_tables": "WITH" + _E + ", o AS (SELECT * FROM e WHERE user_id = 1 AND channel IN ('click', 'view')), names AS (SELECT unnest(['click', 'view']) AS channel)"
+    + _between('SELECT channel, timecodes AS t, record_idx AS ord, "Value" AS v FROM o', "SELECT DISTINCT names.channel, timecodes AS t FROM o CROSS JOIN names", "channel")
+    + f" SELECT t AS timecodes, MAX(CASE WHEN channel = 'click' THEN {_linear('v')} END) AS clicks, MAX(CASE WHEN channel = 'view' THEN COALESCE(v0, v1) END) AS views FROM s WHERE kind = 1 GROUP BY t",
 }
-# the binary log holds all events in the order of their ids, as records from 0 on
-_B = "WITH b AS (SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS record_idx, CAST(round(epoch_us(ts) / 1e6 * 1000) AS BIGINT) AS timecodes, CAST((day(ts) - 1) % 7 AS INT) AS \"Lap\", event_type = 'error' AS \"OnPitRoad\", CAST(CAST(json_extract_string(props, '$.k') AS INT) / 100.0 AS FLOAT) AS \"LapDistPct\", value AS \"Value\", user_id AS \"User\", CAST(CAST(json_extract_string(props, '$.k') AS INT) + 100 AS SMALLINT) AS \"Tag\" FROM events)"
-_BINARY = _B + ' SELECT record_idx, timecodes, "Lap", "OnPitRoad", "LapDistPct", "Value", "User", "Tag" FROM b'
+# a binary log holds the events of a range of ids in their order, as records from 0 on
+_B = f"WITH b AS (SELECT event_id // {LOG_EVENTS} AS log, CAST(row_number() OVER (PARTITION BY event_id // {LOG_EVENTS} ORDER BY event_id) - 1 AS BIGINT) AS record_idx, CAST(round(epoch_us(ts) / 1e6 * 1000) AS BIGINT) AS timecodes, CAST((day(ts) - 1) % 7 AS INT) AS \"Lap\", event_type = 'error' AS \"OnPitRoad\", CAST(CAST(json_extract_string(props, '$.k') AS INT) / 100.0 AS FLOAT) AS \"LapDistPct\", value AS \"Value\", user_id AS \"User\", CAST(CAST(json_extract_string(props, '$.k') AS INT) + 100 AS SMALLINT) AS \"Tag\" FROM events)"
+_BINARY = _B + ' SELECT log, record_idx, timecodes, "Lap", "OnPitRoad", "LapDistPct", "Value", "User", "Tag" FROM b'
 ORACLES |= {
     "binary_scan": _BINARY,
     "binary_stored_scan": _BINARY,
-    "binary_one_channel": _B + ' SELECT record_idx, timecodes, "Value" FROM b WHERE record_idx BETWEEN 10 AND 19',
-    "binary_arrays": _B + ' SELECT record_idx, CAST(3 AS INT) AS n, CAST("Value" AS FLOAT) AS last FROM b',
-    "binary_laps": _B + ", e AS (SELECT *, 0 AS one FROM b)" + _L.format(k="one") + " SELECT lap_idx, num, start_time, end_time, lap_type, session, sample_count FROM laps",
+    "binary_one_channel": _B + ' SELECT log, record_idx, timecodes, "Value" FROM b',
+    "binary_records": _B + ' SELECT log, record_idx, timecodes, "Value" FROM b WHERE record_idx BETWEEN 10 AND 19',
+    "binary_time_range": _B + f' SELECT log, record_idx, timecodes, "Value" FROM b WHERE timecodes >= {START} AND timecodes < {END}',
+    "binary_arrays": _B + ' SELECT log, record_idx, CAST(3 AS INT) AS n, CAST("Value" AS FLOAT) AS last FROM b',
+    "binary_laps": _B + ", e AS (SELECT * FROM b)" + _L.format(k="log") + " SELECT log, lap_idx, num, start_time, end_time, lap_type, session, sample_count FROM laps",
+    # numbers from 0xFFFFFFFD on are -3 and up as signed ones, and wrap to 0 after -1
+    "binary_raw_lap": _B + ', e AS (SELECT * REPLACE ("Lap" - 3 AS "Lap") FROM b)' + _L.format(k="log") + " SELECT log, lap_idx, num, start_time, end_time, sample_count FROM laps",
+    "log_resample_bucketed": _B + f", grid AS (SELECT i AS n, {START} + i * 3600000 AS t FROM range(200) r(i))"
+    + _between('SELECT log, timecodes AS t, record_idx AS ord, "Value" AS v, "Lap" AS k FROM b', "SELECT DISTINCT b.log, grid.t FROM b, grid", "log", ("v", "k"))
+    + f""" SELECT log, (t - {START}) // 3600000 AS record_idx, t AS timecodes, {_linear("v")} AS "Value", COALESCE(k0, k1) AS "Lap" FROM s WHERE kind = 1""",
 }

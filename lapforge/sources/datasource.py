@@ -5,6 +5,11 @@ and decoded as a strided NumPy view to Arrow. Columns: file_id, record_idx, time
 then the scalar variables in file order. Options: ``path`` (a file, a folder or a glob
 of files with one layout), ``channels`` (comma-separated; all by default),
 ``arrays`` (true adds array variables; false), ``records`` (in a partition),
+``start`` and ``end`` (records of start <= timecodes < end only), ``ordered`` (true where
+times never decrease from record to record: the range's ends are then found by a few
+seeks, and only its records are read), ``signals`` (true gives, in place of channels, the
+raw signals that laps depend on: Lap's four bytes as an integer and whether OnPitRoad's
+first byte is set, whatever their declared types, and LapDistPct as a float),
 ``pushdown`` (true lets filters on record_idx narrow the ranges that are read; it needs
 ``spark.sql.python.filterPushdown.enabled``, and ``read`` follows that setting).
 
@@ -17,7 +22,7 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from .layout import InMemory, Layout, LayoutError, OnDisk, Variable, parse
 TIME_CHANNEL = "SessionTime"
 #: Records decoded to one Arrow batch, and records of one partition.
 BATCH, PARTITION = 16_384, 262_144
+LEAST_TIME = -(1 << 63)
 _SPARK = {"char": T.ShortType(), "bool": T.BooleanType(), "int": T.IntegerType(), "bitfield": T.LongType(), "float": T.FloatType(), "double": T.DoubleType()}
 _ARROW = {"char": pa.int16(), "bool": pa.bool_(), "int": pa.int32(), "bitfield": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 _FIXED = [T.StructField("file_id", T.StringType(), False), T.StructField("record_idx", T.LongType(), False), T.StructField("timecodes", T.LongType(), False)]
@@ -48,6 +54,27 @@ def chosen(layout: Layout, names: list[str] | None, arrays: bool) -> list[Variab
     return [by[n] for n in dict.fromkeys(names)]
 
 
+#: The signals of laps, and the type whose bytes each is read as; any float for the last.
+SIGNALS = {"Lap": 2, "OnPitRoad": 1, "LapDistPct": None}
+
+
+def signals(layout: Layout) -> list[Variable]:
+    """The variables that laps depend on, with the types that they are read as.
+
+    Of a distance that is neither float nor double there is none, as of one that is missing.
+    """
+    out = []
+    for name, code in SIGNALS.items():
+        v = layout.variable(name)
+        if v is None or (code is None and v.kind not in ("float", "double")):
+            continue
+        v = replace(v, code=v.code if code is None else code, count=1)
+        if v.offset + v.size > layout.record_length:
+            raise LayoutError(f"{name} at offset {v.offset} needs {v.size} bytes of a record of {layout.record_length}")
+        out.append(v)
+    return out
+
+
 def spark_type(v: Variable) -> T.DataType:
     if v.count == 1:
         return _SPARK[v.kind]
@@ -79,11 +106,15 @@ def timecodes(seconds: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(raw: bytes, layout: Layout, variables: list[Variable], file_id: str, first: int) -> pa.RecordBatch:
-    """Records that follow each other, from record number ``first`` on."""
+def decode(raw: bytes, layout: Layout, variables: list[Variable], file_id: str, first: int, start: int = LEAST_TIME, end: int | None = None) -> pa.RecordBatch:
+    """Records that follow each other, from record number ``first`` on; those in a range of times."""
     time = time_variable(layout)
     rows = np.frombuffer(raw, dtype=layout.dtype([*variables, time]))
-    columns = [pa.array([file_id] * len(rows), type=pa.string()), pa.array(np.arange(first, first + len(rows))), pa.array(timecodes(rows[f"v{len(variables)}"]))]
+    times, at = timecodes(rows[f"v{len(variables)}"]), np.arange(first, first + len(rows))
+    if start > LEAST_TIME or end is not None:
+        within = (times >= start) & (times < end if end is not None else True)
+        rows, times, at = rows[within], times[within], at[within]
+    columns = [pa.array([file_id] * len(rows), type=pa.string()), pa.array(at), pa.array(times)]
     for i, v in enumerate(variables):
         values = np.ascontiguousarray(rows[f"v{i}"])
         if v.count != 1 and v.kind == "char":
@@ -106,6 +137,17 @@ def files(path: str) -> list[str]:
     return found
 
 
+def first_at(src: OnDisk, layout: Layout, time: int) -> int:
+    """The first record of a time or a later one, by bisection over times that never decrease."""
+    at = time_variable(layout).offset
+    low, high = 0, layout.record_count
+    while low < high:
+        mid = (low + high) // 2
+        seconds = np.frombuffer(src.part(layout.data_offset + mid * layout.record_length + at, 8), "<f8")
+        low, high = (mid + 1, high) if timecodes(seconds)[0] < time else (low, mid)
+    return low
+
+
 @dataclass
 class Records(InputPartition):
     path: str
@@ -120,12 +162,20 @@ class TelemetryReader(DataSourceReader):
         self.step = max(1, int(options.get("records", PARTITION)))
         self.path = options["path"]
         self.low, self.high = 0, 1 << 62
+        self.start = int(options.get("start", LEAST_TIME))
+        self.end = int(options["end"]) if "end" in options else None
+        self.ordered = options.get("ordered", "false").lower() == "true"
+        self.signals = options.get("signals", "false").lower() == "true"
 
     def partitions(self) -> list[Records]:
         out = []
         for path in files(self.path):
-            n = parse(OnDisk(path)).record_count
-            low, high = min(self.low, n), min(self.high, n)
+            src = OnDisk(path)
+            layout = parse(src)
+            low, high = min(self.low, layout.record_count), min(self.high, layout.record_count)
+            if self.ordered:
+                low = max(low, first_at(src, layout, self.start))
+                high = high if self.end is None else min(high, first_at(src, layout, self.end))
             out += [Records(path, a, min(a + self.step, high)) for a in range(low, high, self.step)]
         return out or [Records("", 0, 0)]
 
@@ -134,11 +184,11 @@ class TelemetryReader(DataSourceReader):
             return
         src = OnDisk(partition.path)
         layout = parse(src)
-        variables = chosen(layout, self.names, self.arrays)
+        variables = signals(layout) if self.signals else chosen(layout, self.names, self.arrays)
         for a in range(partition.start, partition.end, BATCH):
             n = min(BATCH, partition.end - a)
             raw = src.part(layout.data_offset + a * layout.record_length, n * layout.record_length)
-            yield decode(raw, layout, variables, partition.path, a)
+            yield decode(raw, layout, variables, partition.path, a, self.start, self.end)
 
 
 class PushingReader(TelemetryReader):
@@ -167,6 +217,8 @@ class TelemetrySource(DataSource):
         names = self.options.get("channels")
         layout = parse(OnDisk(files(self.options["path"])[0]))
         time_variable(layout)
+        if self.options.get("signals", "false").lower() == "true":
+            return schema_of(signals(layout))
         wanted = None if names is None else [n.strip() for n in names.split(",") if n.strip()]
         return schema_of(chosen(layout, wanted, self.options.get("arrays", "false").lower() == "true"))
 
@@ -175,23 +227,56 @@ class TelemetrySource(DataSource):
         return kind(schema, dict(self.options))
 
 
-def read(spark: SparkSession, path: str, channels: list[str] | None = None, arrays: bool = False, records: int = PARTITION) -> DataFrame:
-    """The records of the logs at ``path``, as a DataFrame."""
+def read(spark: SparkSession, path: str, channels: list[str] | None = None, arrays: bool = False, records: int = PARTITION, start: int | None = None, end: int | None = None, ordered: bool = False) -> DataFrame:
+    """The records of the logs at ``path``, as a DataFrame; those of start <= timecodes < end."""
     spark.dataSource.register(TelemetrySource)
     reader = spark.read.format("telemetrylog").option("arrays", str(arrays).lower()).option("records", records)
-    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
-    if channels is not None:
-        reader = reader.option("channels", ",".join(channels))
+    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).option("ordered", str(ordered).lower())
+    for name, value in (("start", start), ("end", end), ("channels", None if channels is None else ",".join(channels))):
+        if value is not None:
+            reader = reader.option(name, value)
     return reader.load(path)
 
 
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """The signals of the logs at ``path`` that laps depend on, by their raw bytes."""
+    spark.dataSource.register(TelemetrySource)
+    return spark.read.format("telemetrylog").option("signals", "true").load(path)
+
+
+class _Short(Exception):
+    """Parsing needs more of a file than was fetched."""
+
+
+class _Head(InMemory):
+    """The first bytes of a file of a known size."""
+
+    def __init__(self, data: bytes, size: int):
+        self.data, self.size = data, size
+
+    def part(self, start: int, length: int) -> bytes:
+        if start + length > len(self.data):
+            raise _Short(start + length)
+        return super().part(start, length)
+
+
+def _stored_layout(found: DataFrame, path: str) -> Layout:
+    """The layout of the first stored file; only its head reaches the driver."""
+    need = 1 << 16
+    while True:
+        head = found.selectExpr("octet_length(content) as size", f"substring(content, 1, {need}) as head").limit(1).collect()
+        if not head:
+            raise FileNotFoundError(path)
+        try:
+            return parse(_Head(bytes(head[0]["head"]), head[0]["size"]))
+        except _Short as short:
+            need = short.args[0]
+
+
 def read_stored(spark: SparkSession, path: str, channels: list[str] | None = None, arrays: bool = False) -> DataFrame:
     """Logs of one layout in any store that Spark reads, a file (under 2 GiB) a row."""
     found = spark.read.format("binaryFile").load(path).select("path", "content")
-    head = found.select("content").limit(1).collect()
-    if not head:
-        raise FileNotFoundError(path)
-    schema = schema_of(chosen(parse(InMemory(bytes(head[0][0]))), channels, arrays))
+    schema = schema_of(chosen(_stored_layout(found, path), channels, arrays))
     names = [f.name for f in schema.fields[len(_FIXED) :]]
 
     def run(batches):

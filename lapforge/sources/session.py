@@ -29,13 +29,20 @@ CURRENT = {"session_type": "SessionType", "session_name": "SessionName"}
 DRIVER = {"driver_name": "UserName", "driver_user_id": "UserID", "driver_irating": "IRating", "driver_license": "LicString", "car_name": "CarScreenName", "car_id": "CarID"}
 
 
+#: Fixed value: white space around a line or a value.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def scanned(yaml: str) -> dict[str, str]:
-    """Values of the known lines as text; of several the last, empty ones not at all."""
+    """Values of the known lines as text; of several the last, empty ones not at all.
+
+    Only a line feed ends a line, so other separators are part of a value.
+    """
     out = {}
-    for line in yaml.splitlines():
-        name, colon, rest = line.strip().partition(": ")
+    for line in yaml.split("\n"):
+        name, colon, rest = line.strip(BLANKS).partition(": ")
         if colon and name in LINES:
-            out[LINES[name]] = rest.strip()
+            out[LINES[name]] = rest.strip(BLANKS)
     return out
 
 

@@ -12,7 +12,7 @@ from lapforge.sources import LayoutError, read, read_stored
 from lapforge.sources.datasource import timecodes
 from lapforge.sources.encode import encode
 from lapforge.sources.layout import InMemory, parse
-from lapforge.sources.session import metadata
+from lapforge.sources.session import metadata, scanned
 
 N = 50
 
@@ -158,3 +158,66 @@ def test_metadata():
     assert found["session_info_yaml"].startswith("---") and not found["session_info_yaml"].endswith("\0")
     for raw in (b"---\nWeekendInfo:\nDriverInfo:\n", b"no marker: [", b"", "---\nDriverInfo: {Drivers: [{UserName: J\xe9}]}".encode("latin-1")):
         metadata(parse(InMemory(encode(columns(1), raw))))
+
+
+def test_only_line_feeds_end_lines():
+    found = scanned("TrackName: a b\x85c\x0b\x1cd \r\n TrackCity:  x: y\t\nTrackCountry:\n")
+    assert found == {"track_name": "a b\x85c\x0b\x1cd", "track_city": "x: y"}
+
+
+@pytest.mark.parametrize("kind, values", [("bitfield", np.array([0xFFFFFFFF, 0xFFFFFFFF, 0, 1])), ("int", np.array([-1, -1, 0, 1])), ("float", np.array([1.5, 1.5, 0, -2.0]))])
+def test_laps_of_raw_bytes(spark, kind, values):
+    """Lap counts by its four bytes, OnPitRoad by its first one, whatever their types."""
+    data = encode([("SessionTime", "double", "", "", np.arange(4.0)), ("Lap", kind, "", "", values), ("OnPitRoad", "float", "", "", np.array([0.5, 0.0, 0.0, 1e-45]))])
+    raw = values.astype({"bitfield": "<u4", "int": "<i4", "float": "<f4"}[kind]).view("<i4")
+    rows = open_log(spark, data).laps.orderBy("lap_idx").collect()
+    assert [r.num for r in rows] == [int(raw[0]), int(raw[2]), int(raw[3])]
+    # 0.5 has a first byte of 0, the least float one of 1
+    assert [r.lap_type for r in rows] == ["full", "incomplete", "incomplete"]
+
+
+def test_lap_without_room_is_an_error(spark):
+    data = encode([("SessionTime", "double", "", "", np.arange(4.0)), ("Lap", "char", "", "", np.arange(4))])
+    with pytest.raises(RuntimeError, match="needs 4 bytes"):
+        open_log(spark, data)
+
+
+def test_time_range_of_an_ordered_log_reads_its_records(spark, path):
+    whole, ordered = open_log(spark, path), open_log(spark, path, ordered=True)
+    for a, b in ((100, 400), (-5, 10**6), (400, 400), (5000, 9000), (0, 17)):
+        want = whole.filter_by_time_range(a, b).samples.collect()
+        got = ordered.select_channels(["Speed", "Lap"]).filter_by_time_range(a, b).samples
+        assert [(r.record_idx, r.Speed, r.Lap) for r in want] == [(r.record_idx, r.Speed, r.Lap) for r in got.orderBy("record_idx").collect()]
+    few = read(spark, path, records=1, start=100, end=400, ordered=True)
+    assert few.rdd.getNumPartitions() == few.count() == 18
+    assert [len(x.samples.collect()) for x in ordered.split_sessions()] == [len(x.samples.collect()) for x in whole.split_sessions()]
+    assert sorted(map(tuple, ordered.filter_by_lap(1).samples.collect())) == sorted(map(tuple, whole.filter_by_lap(1).samples.collect()))
+
+
+def test_logs_of_a_folder_as_one(spark, tmp_path):
+    for name, n in (("a", 50), ("b", 30)):
+        (tmp_path / f"{name}.log").write_bytes(encode(columns(n)))
+    log = open_log(spark, str(tmp_path))
+    assert log.files == [f"{tmp_path}/a.log", f"{tmp_path}/b.log"] and set(log.metadata) == set(log.files)
+    assert log.filter_by_lap(1).samples.groupBy("file_id").count().count() == 2
+    assert [s.samples.count() for s in log.split_sessions()] == [78]
+    grid = log.resample_to_timecodes([0, 250, 100], bucket_ms=100).samples
+    assert grid.count() == 6 and sorted(map(tuple, grid.collect())) == sorted(map(tuple, log.resample_to_timecodes([0, 250, 100]).samples.collect()))
+
+
+def test_stored_logs_fetch_only_heads(spark, tmp_path):
+    long = encode(columns(), b"---\n" + b"# filler\n" * 20_000)
+    (tmp_path / "long.log").write_bytes(long)
+    assert read_stored(spark, str(tmp_path / "long.log")).count() == N
+
+
+def test_shared_folder_or_error(spark, monkeypatch):
+    from lapforge.sources import shared
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Elsewhere)
+    assert shared.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
