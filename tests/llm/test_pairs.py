@@ -418,3 +418,22 @@ def test_scratch_tables_are_written_once_and_cleared(spark):
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and os.path.isdir(folder.removeprefix("file://"))
     scratch.clear(spark)
     assert not os.path.isdir(folder.removeprefix("file://")) and scratch._WRITTEN == []
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Elsewhere)
+
+
+def test_scope_deletes_what_was_written_within(spark):
+    import os
+
+    with scratch.scope(spark) as keep:
+        inner = scratch.materialize(spark.range(3), "inner")
+        path = scratch._WRITTEN[-1]
+        outer = keep(inner.selectExpr("id + 1 as id"), "outer")
+    assert not os.path.isdir(path.removeprefix("file://")) and sorted(r.id for r in outer.collect()) == [1, 2, 3]
