@@ -62,12 +62,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality_sql() -> str:
-    """The counts, the sketches' quartiles, and the fences of op2 in SQL."""
+    """The counts, the sketches' medians and lower quartiles, and the fences of op2 in SQL."""
     word = r"[^\x20\x09-\x0D]"
     per = {"symbols_k": "n_symbols n_words", "dup_lines_k": "n_dup_lines n_lines", "repeat_words_k": "n_repeat_words n_words", "word_chars_k": "word_chars n_words", "shouted_k": "n_shouted word_chars", "marks_k": "n_marks n_words"}
     rates = ", ".join("1000 * {} // greatest({}, 1) AS {}".format(*v.split(), k) for k, v in per.items())
     sketches = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS measure, {quality.SLACK[k]} AS slack, {k} AS v FROM r" for k in per)
-    level = lambda name, by: f"""{name} AS (SELECT {by}measure, any_value(total) AS total, min(low) FILTER (WHERE upto * 4 >= total) AS q1, min(low) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM (
+    level = lambda name, by: f"""{name} AS (SELECT {by}measure, any_value(total) AS total, min(low) FILTER (WHERE upto * 4 >= total) AS q1, min(low) FILTER (WHERE upto * 2 >= total) AS q2 FROM (
   SELECT {by}measure, bucket, n, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS total,
     CASE WHEN bucket < 64 THEN bucket ELSE CAST((bucket - ((bucket - 32) // 32) * 32) AS BIGINT) << CAST((bucket - 32) // 32 AS INT) END AS low
   FROM (SELECT {by}measure, bucket, count(*) AS n FROM b GROUP BY {by}measure, bucket)) GROUP BY {by}measure)"""
@@ -93,10 +93,10 @@ b AS (SELECT *, shift * 32 + (v >> shift) AS bucket FROM z),
 {level("f3", "")},
 f AS (SELECT b.rid, b.measure, b.v, b.slack,
   CASE WHEN f1.total >= {quality.FEW} THEN f1.q1 WHEN f2.total >= {quality.FEW} THEN f2.q1 ELSE f3.q1 END AS q1,
-  CASE WHEN f1.total >= {quality.FEW} THEN f1.q3 WHEN f2.total >= {quality.FEW} THEN f2.q3 ELSE f3.q3 END AS q3
+  CASE WHEN f1.total >= {quality.FEW} THEN f1.q2 WHEN f2.total >= {quality.FEW} THEN f2.q2 ELSE f3.q2 END AS q2
   FROM b JOIN f1 ON b.lang IS NOT DISTINCT FROM f1.lang AND b.source IS NOT DISTINCT FROM f1.source AND b.measure = f1.measure
   JOIN f2 ON b.lang IS NOT DISTINCT FROM f2.lang AND b.measure = f2.measure JOIN f3 ON b.measure = f3.measure),
-o AS (SELECT rid, bool_or(v > q3 + (q3 - q1) * {quality.REACH} + slack OR (measure = 'word_chars_k' AND v < q1 - (q3 - q1) * {quality.REACH} - slack)) AS outside FROM f GROUP BY rid)
+o AS (SELECT rid, bool_or(v > q2 + (q2 - q1) * {quality.REACH} + slack OR (measure = 'word_chars_k' AND v < q2 - (q2 - q1) * {quality.REACH} - slack)) AS outside FROM f GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT outside AS kept
 FROM m JOIN o USING (rid)

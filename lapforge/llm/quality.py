@@ -5,11 +5,13 @@ sketch counts documents by bucket of a measure: values under 64 have a bucket ea
 larger ones share one with values within 1/32 of them. Sketches of two parts merge by
 adding counts, so they are a grouped count with pre-aggregation, the same for any
 partitioning, and a sketch of a language is the sum of its sources'. Thresholds of
-each language and source come from the sketch's quartiles (a fence of several
-quartile distances over the upper one), from the language's sketch where the source
-has few documents, and from all documents where the language has few. Each measure's
-fence is widened by a slack, so that a group whose documents agree rejects none of
-them for a small difference. Filtering joins the thresholds back to the documents.
+each language and source come from the sketch's median and lower quartile (a fence of
+several of their distances around the median, which junk moves only if it is half of the
+group), from the language's sketch where the source has few documents, and from all
+documents where the language has few. Each measure's fence is widened by a slack, so that
+a group whose documents agree rejects none of them for a small difference; where median
+and quartile are equal, as for counts that most documents have none of, the slack alone
+is the distance. Filtering joins the thresholds back to the documents.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from .text import SPACE, as_column, hidden, let, others, quoted, text_or_empty
 
 #: Documents that a group's own sketch needs.
 FEW = 50
-#: Quartile distances between the quartile and the fence.
-REACH = 4
+#: Distances of lower quartile and median between the median and the fence: in a symmetric
+#: group four quartile distances beyond the quartile.
+REACH = 9
 #: Measures per thousand words, lines or characters, and their least slack.
 SLACK = {"symbols_k": 150, "dup_lines_k": 300, "repeat_words_k": 250, "word_chars_k": 3000, "shouted_k": 300, "marks_k": 100}
 #: Symbols that the base rules count, and marks that tables and shouting use.
@@ -125,10 +128,10 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     by = [*keys, "measure"]
     ranked = sketches.withColumn("upto", F.sum("n").over(W.partitionBy(*by).orderBy("bucket"))).withColumn("total", F.sum("n").over(W.partitionBy(*by)))
     at = lambda q: least_of(F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket"))))
-    quartiles = ranked.groupBy(*by).agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
+    quartiles = ranked.groupBy(*by).agg(F.max("total").alias("total"), at(1).alias("q1"), at(2).alias("q2"))
     slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("measure"))
-    reach = (F.col("q3") - F.col("q1")) * REACH + slack
-    fenced = quartiles.select(*by, "total", F.struct((F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")).alias("fence"))
+    reach = (F.col("q2") - F.col("q1")) * REACH + slack
+    fenced = quartiles.select(*by, "total", F.struct((F.col("q2") - reach).alias("low"), (F.col("q2") + reach).alias("high")).alias("fence"))
     return fenced.groupBy(*keys).agg(F.max("total").alias("total"), *(F.max(F.when(F.col("measure") == k, F.col("fence"))).alias(k) for k in SLACK))
 
 
@@ -152,8 +155,10 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     base_failed: under 50 words, or over half of the words in repeated windows. kept:
     not base_failed, and no measure over its group's upper fence, nor characters per
-    word under the lower one. Null language or source are groups of their own. Repeated
-    rows are judged alike. An empty table gives no rows.
+    word under the lower one; values on a fence are kept. Null language or source are
+    groups of their own; null and empty texts have no words and so fail. Repeated rows
+    are judged alike and count each in the sketches. Other columns play no part,
+    whatever their names. An empty table gives no rows.
     """
     src = docs.select(as_column(doc_id).alias("doc_id"), as_column(text).alias("text"), F.to_json(F.struct(as_column(lang).alias("a"))).alias("lang_key"), F.to_json(F.struct(as_column(lang).alias("a"), as_column(source).alias("b"))).alias("group_key"))
     measured = materialize(measure(src, "text", ["doc_id", "lang_key", "group_key"]), "measures")
