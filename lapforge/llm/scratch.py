@@ -68,3 +68,23 @@ def scope(spark: SparkSession):
     yield keep
     clear(spark, start)
     _WRITTEN.extend(kept)
+
+
+@contextlib.contextmanager
+def sifted(spark: SparkSession, keys: int):
+    """Joins that are run within send only rows that a Bloom filter of the other side lets pass.
+
+    It is Spark's own runtime filter, which by default waits for far larger tables: for
+    semi and inner joins whose smaller side has a filter of its own. ``keys`` sizes it,
+    up to 8 MB; beyond that it lets more rows pass, which the join drops as without it.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1PB", "expectedNumItems": str(min(8_000_000, max(10_000, keys))), "maxNumItems": "8000000"}
+    before = {k: spark.conf.get(name + k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(name + k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(name + k) if v is None else spark.conf.set(name + k, v)

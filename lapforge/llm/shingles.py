@@ -38,14 +38,15 @@ from pyspark.sql import types as T
 
 from . import simhash
 from .components import components
-from .scratch import materialize
+from .scratch import materialize, sifted
+from .sieve import passing, sieve
 from .text import as_column, small_batches, text_or_empty
 
 SEED = 42
 WORDS, SIMILARITY = 5, 0.8
-ROWS, BANDS = 7, 40
+ROWS, BANDS = 5, 24
 #: Bits in which the fingerprints of SimHash's candidates differ at most.
-DISTANCE = 4
+DISTANCE = 2
 #: Nodes in a block and centres of a cluster; shingles that are hashed or compared at once.
 BLOCK, CENTRES, CHUNK = 256, 32, 4096
 #: Documents that are returned at once, whatever Spark's batches hold.
@@ -213,12 +214,15 @@ def _blocks(size: Column, block: int) -> Column:
 
 
 def _large(sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(u, v): links of clusters that are larger than a block."""
+    """(u, v): links of clusters that are larger than a block.
+
+    Only sets that are compared move; what decides on them are narrow rows.
+    """
     # 1: what a node shares with its cluster
     own = _tokens(sets).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
     own = own.groupBy("cluster", "node").agg(F.count(F.lit(1)).alias("own"))
     size = (F.octet_length("found") / 8).cast("long")
-    rows = sets.join(own, ["cluster", "node"], "left").select("cluster", "node", "found", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
+    rows = sets.select("cluster", "node", size.alias("size")).join(own, ["cluster", "node"], "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
     rows = materialize(rows.filter(F.col("shared") >= similarity * F.col("size") - 1e-6), "open")
     counts = materialize(rows.groupBy("cluster").agg(_blocks(F.count(F.lit(1)), block).alias("blocks")), "open_sizes")
     rows = rows.join(counts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -226,8 +230,10 @@ def _large(sets: DataFrame, similarity: float, block: int) -> DataFrame:
     alone = F.floor((F.col("size") - F.col("shared")) * 20 / F.col("size"))
     best = F.row_number().over(W.partitionBy("cluster").orderBy(alone, F.xxhash64("node", F.lit(SEED)), "node"))
     centres = rows.withColumn("rank", best).filter(F.col("rank") <= CENTRES)
-    centres = centres.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), "node", "found")
-    first = materialize(_verified(rows.select("cluster", "part", "node", "found").unionByName(centres), ["cluster", "part"], similarity), "to_centres")
+    centres = centres.select("cluster", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    found = sets.select("cluster", "node", "found")
+    dealt = rows.select("cluster", "node", "part").unionByName(centres).distinct()
+    first = materialize(_verified(found.join(dealt, ["cluster", "node"]), ["cluster", "part"], similarity), "to_centres")
     # 3: those that aren't in the largest component, by what sizes they can be similar to
     joined = components(first).select("node", "component")
     rooted = materialize(rows.select("cluster", "node", "size", "shared").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "joined")
@@ -238,10 +244,12 @@ def _large(sets: DataFrame, similarity: float, block: int) -> DataFrame:
     rest = materialize(rest.join(sizes, ["cluster", "class"]).withColumn("group", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts"), "rest")
     bounds = rest.groupBy("cluster", "class", "group").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     near = rows.join(bounds, "cluster").filter((F.col("size") >= F.col("low")) & (F.col("size") <= F.col("high")))
-    near = near.select("cluster", "class", "group", "part", "node", "found")
-    wanted = rest.join(counts, "cluster").select("cluster", "class", "group", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
-    wanted = wanted.join(rows.select("cluster", "node", "found"), ["cluster", "node"]).select("cluster", "class", "group", "part", "node", "found")
-    last = _verified(near.unionByName(wanted), ["cluster", "class", "group", "part"], similarity)
+    near = near.select("cluster", "node", "class", "group", "part")
+    # a group of the rest goes to the blocks that hold nodes of a size that fits
+    parts = near.select("cluster", "class", "group", "part").distinct()
+    wanted = rest.select("cluster", "node", "class", "group").join(parts, ["cluster", "class", "group"])
+    dealt = materialize(near.unionByName(wanted.select(*near.columns)).distinct(), "dealt")
+    last = _verified(found.join(dealt, ["cluster", "node"]), ["cluster", "class", "group", "part"], similarity)
     return first.unionByName(materialize(last, "to_rest"))
 
 
@@ -257,16 +265,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     prints = materialize(_nodes(src, words), "shingled")
     classes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("print").alias("print"), F.first("bands").alias("bands")), "classes")
     entries = classes.select("node", F.explode("bands").alias("band"))
-    centres = entries.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "centre")
-    found = entries.join(centres, "band").filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+    centres = entries.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    centres = materialize(centres.select("band", "centre"), "centres")
+    found = passing(entries, F.col("band"), sieve(centres, F.col("band"))).join(centres, "band").filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
     found = found.unionByName(_by_prints(classes.select("node", "print")))
     inner = components(found).select("node", F.col("component").alias("cluster"))
     members = materialize(inner.unionByName(inner.select(F.col("cluster").alias("node"), "cluster").distinct()), "clusters")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     wanted = materialize(members.join(sizes, "cluster").join(classes.select("node", "mark"), "node").select("node", "cluster", "n", "mark"), "wanted")
-    # one text of each mark, before texts move
-    texts = src.select("mark", "text").join(wanted.select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
-    sets = materialize(_sets(wanted.join(texts, "mark"), words), "sets")
+    # one text of each mark, and of those only that are wanted, before texts move
+    texts = src.select("mark", "text").join(wanted.filter("n > 1").select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
+    with sifted(docs.sparkSession, wanted.count()):
+        sets = materialize(_sets(wanted.join(texts, "mark"), words), "sets")
     # small clusters travel together, about four blocks of nodes in a task
     packs = max(1, sets.filter(F.col("n") <= block).count() // (4 * block))
     small = sets.filter(F.col("n") <= block).withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs)))

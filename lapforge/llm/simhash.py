@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .scratch import materialize
+from .sieve import WORD, passing, sieve
 from .text import as_column, hidden, small_batches, text_or_empty
 
 SEED = 42
@@ -180,9 +181,12 @@ def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     found = materialize(found.select("doc_id", "mark", "component_id"), "near_duplicates")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ident, mark = hidden("id"), hidden("mark")
-    # the documents to leave out are fewer than those to keep, and decide alone which texts move
     gone = materialize(found.filter(~kept).select(F.col("doc_id").alias(ident), F.col("mark").alias(mark)).distinct(), "duplicates")
-    rest = docs.join(gone, as_column(doc_id).eqNullSafe(F.col(ident)) & (F.md5(text_or_empty(text)) == F.col(mark)), "left_anti")
+    # only texts that a sieve of those to leave out can't tell from them move to the join
+    bits, own = sieve(gone, F.struct(ident, mark)), F.struct(as_column(doc_id).alias(ident), F.md5(text_or_empty(text)).alias(mark))
+    same = as_column(doc_id).eqNullSafe(F.col(ident)) & (F.md5(text_or_empty(text)) == F.col(mark)) & (F.col(WORD) >= 0)
+    unsure = passing(docs, own, bits).join(gone, same, "left_anti").drop(WORD)
+    rest = passing(docs, own, bits, False).union(unsure)
     if found.filter(kept).groupBy("doc_id", "mark").count().filter("count > 1").limit(1).count():
         rest = rest.withColumns({mark: F.md5(text_or_empty(text)), ident: as_column(doc_id)}).dropDuplicates([ident, mark]).drop(mark, ident)
     return rest
