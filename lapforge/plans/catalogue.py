@@ -337,7 +337,7 @@ def channels_left(spark, sf_dir):
 @register
 def merge_two_tables(spark, sf_dir):
     """Channel tables with time bases of their own as one wide table."""
-    events = _events(spark, sf_dir).filter("user_id = 1")
+    events = _events(spark, sf_dir)
     of = lambda kind, name: long_channels(events).filter(F.col("channel") == kind).select("timecodes", with_metadata(F.col("value"), name, ChannelMetadata("", "", kind == "click")), "record_idx")
     return align.merge_tables({"clicks": of("click", "clicks"), "views": of("view", "views")}, order="record_idx")
 
@@ -431,7 +431,7 @@ ORACLES |= {
     "session_metadata": "SELECT 'log' AS file_id, * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in METADATA.items()) + ") AS t(key, value)",
     "resample_metadata": "SELECT * FROM (VALUES ('K', '', 'property k', false, 'int'), ('Lap', '', 'day of the week of four', false, 'int'), ('LapDistPct', '%', 'share of a lap', true, 'float'), ('OnPitRoad', '', 'event is an error', false, 'boolean'), ('Value', '', 'value of the event', true, 'double')) AS t(channel, units, \"desc\", interpolate, type)",
     "channels_left": "SELECT * FROM (VALUES ('Lap', true), ('LapDistPct', true), ('OnPitRoad', true), ('Speed', false)) AS t(channel, there)",
-    "merge_two_tables": "WITH" + _E + ", o AS (SELECT * FROM e WHERE user_id = 1 AND channel IN ('click', 'view')), names AS (SELECT unnest(['click', 'view']) AS channel)"
+    "merge_two_tables": "WITH" + _E + ", o AS (SELECT * FROM e WHERE channel IN ('click', 'view')), names AS (SELECT unnest(['click', 'view']) AS channel)"
     + _between('SELECT channel, timecodes AS t, record_idx AS ord, "Value" AS v FROM o', "SELECT DISTINCT names.channel, timecodes AS t FROM o CROSS JOIN names", "channel")
     + f" SELECT t AS timecodes, MAX(CASE WHEN channel = 'click' THEN {_linear('v')} END) AS clicks, MAX(CASE WHEN channel = 'view' THEN COALESCE(v0, v1) END) AS views FROM s WHERE kind = 1 GROUP BY t",
 }
