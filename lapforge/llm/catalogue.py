@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, pii, quality, sharding, simhash, urls, vectors
+from . import bpe, chat, langid, mixing, pii, quality, sharding, simhash, sql, urls, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +117,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+ORACLES["op4_simhash"] = sql.simhash()
+
+
 @register
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"]), ["doc_id"])
@@ -128,6 +131,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+ORACLES["op6_sharding"] = sql.sharding(n_shards=16, seed=20)
+
+
 @register
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(table(spark, sf_dir, "pages"))
@@ -139,6 +145,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"), seed=20)
 
 
+ORACLES["op8_mixing"] = sql.mixing(seed=20)
+
+
 @register
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
