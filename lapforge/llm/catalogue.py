@@ -140,6 +140,9 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined", " | ").alias("mined"))
 
 
+ORACLES["op7_urls"] = sql.urls(urls.RULES, sorted(urls.named()), urls.MIN_SUPPORT, urls.MIN_COUNT, urls.MIN_CONFIDENCE)
+
+
 @register
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"), seed=20)

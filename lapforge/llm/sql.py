@@ -151,3 +151,33 @@ o AS (SELECT d.*, sum(size) OVER (PARTITION BY k ORDER BY coalesce(x2.hash, x1.h
 SELECT doc_id, size, source_size, target, CAST(size * (times + CASE WHEN upto - size / 2 <= target - times * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM o JOIN n USING (k)
 """
+
+
+def urls(rules: tuple[tuple[str, str], ...], names: list[str], support: float, least: int, confidence: float) -> str:
+    """Verdicts by listed rules, and by rules found among all sets of tokens of all judged pages.
+
+    No frequent-pattern mining: every subset of every judged page's tokens is counted.
+    """
+    fits = []
+    for text, says in sorted(rules, key=lambda r: (len(r[0]), r[0]), reverse=True):
+        domain, slash, rest = text.partition("/")
+        fits.append((f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{slash + rest}')", text, says))
+    which = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
+    listed = ", ".join(f"'{n}'" for n in names)
+    return rf"""
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS rid, page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT rid, page_id, host, path, {which(1)} AS rule, {which(2)} AS says,
+  list_filter(string_split(host, '.'), lambda x: x <> '') AS parts, list_transform(string_split(regexp_extract(coalesce(url, ''), '\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]) AS names FROM h),
+w AS (SELECT *, regexp_split_to_array(array_to_string(parts[1:greatest(len(parts) - 1, 0)], '/') || '/' || lower(path), '[^\p{{L}}]+') AS words FROM j),
+t AS (SELECT rid, page_id, host, path, rule, says, list_sort(list_distinct(list_transform(list_filter(words, lambda x: length(x) > 2 AND x NOT IN ({listed})), lambda x: 'word:' || x)
+  || list_transform(list_filter(names, lambda x: x <> ''), lambda x: 'param:' || x))) AS tokens FROM w),
+s AS (SELECT rid, says = 'block' AS blocked, tokens, i AS last, [tokens[i]] AS held FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM t WHERE says IS NOT NULL)
+  UNION ALL SELECT rid, blocked, tokens, i AS last, held || [tokens[i]] AS held FROM (SELECT *, unnest(range(last + 1, len(tokens) + 1)) AS i FROM s)),
+c AS (SELECT held, count(*) FILTER (WHERE blocked) AS n, count(*) AS total FROM s GROUP BY held),
+r AS (SELECT held FROM c WHERE n >= (SELECT greatest({least}, ceil({support} * count(*)), 1) FROM t WHERE says IS NOT NULL) AND n / total >= {confidence}),
+m AS (SELECT held, array_to_string(held, ' ') AS mined FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS o WHERE len(o.held) < len(r.held) AND list_has_all(r.held, o.held))),
+f AS (SELECT rid, string_agg(mined, ' | ' ORDER BY mined) AS mined FROM t JOIN m ON says IS NULL AND list_has_all(tokens, held) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN mined IS NULL THEN 'allow' ELSE 'block' END) AS verdict, coalesce(mined, '') AS mined
+FROM t LEFT JOIN f USING (rid)
+"""
