@@ -85,7 +85,7 @@ STAGES = [
     ("bpe", encode_tokens),
 ]
 
-#: XXH64, trained models and merges by rank are beyond SQL; tests hold the stages against brute force.
+#: Trained models and merges by rank are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
